@@ -6,19 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mpeg_audio, sentencepiece_bpe, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.from_media(mpeg_audio.to_media(_table(spark, sf_dir, "documents")))
+
+
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_files.document_digests(files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_mpeg_audio": op5_mpeg_audio,
+    "op7_huffman_ids": op7_huffman_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
