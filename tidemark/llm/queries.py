@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mpeg_audio, sentencepiece_bpe, token_files
+from . import exact_dedup, language_id, mpeg_audio, sentencepiece_bpe, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -39,6 +43,7 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op7_huffman_ids": op7_huffman_ids,
