@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mpeg_audio, sentencepiece_bpe, token_files
+from . import exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, source_mix, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -36,19 +41,33 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.from_media(mpeg_audio.to_media(_table(spark, sf_dir, "documents")))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = source_mix.quality_weights(_table(spark, sf_dir, "labels"))
+    mixed = source_mix.mix(_table(spark, sf_dir, "documents"), weights)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return token_files.document_digests(files)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mpeg_audio": op5_mpeg_audio,
+    "op6_source_mix": op6_source_mix,
     "op7_huffman_ids": op7_huffman_ids,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op6_source_mix": source_mix.ORACLE,
 }
