@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, shingle_join, source_mix, token_files, toxicity
+from . import exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, shingle_join, source_mix, token_files, toxicity, warc_derive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derivatives(warc_derive.responses(_table(spark, sf_dir, "pages"))).drop("record")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("class_id")
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op7_huffman_ids": op7_huffman_ids,
     "op8_secret_scan": op8_secret_scan,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -120,7 +120,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _scan(docs: DataFrame, seed: int) -> DataFrame:
     """Rows of documents (kind 0) and of tokens that a chunk of new sets holds more than once (kind 1)."""
-    names = ["kind", "doc_id", "n", "node", "check"]
+    names = ["kind", "doc_id", "n", "node", "check", "mark"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen, held, size = shingler(seed), _Seen(), [], 0
@@ -130,26 +130,27 @@ def _scan(docs: DataFrame, seed: int) -> DataFrame:
             token, n = token[n > 1], n[n > 1]
             kind = pa.array(np.ones(len(n), np.int8))
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([kind, none, pa.array(n, pa.int64()), _signed(token), none], names=names)
+            return pa.RecordBatch.from_arrays([kind, none, pa.array(n, pa.int64()), _signed(token), none, none], names=names)
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t = sh.tokens(text)
                 node, check = sh.node(t) if len(t) else (None, None)
-                rows.append((0, doc_id, len(t), node, check))
+                rows.append((0, doc_id, len(t), node, check, mark))
                 if len(t) and seen.new(node):
                     held.append(t)
                     size += len(t)
                     if size >= CHUNK:
                         yield counted()
                         held, size = [], 0
-            kinds = [pa.int8(), *[pa.int64()] * 4]
+            kinds = [pa.int8(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
         if held:
             yield counted()
 
-    return docs.mapInArrow(work, "kind byte, doc_id long, n long, node long, check long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(work, "kind byte, doc_id long, n long, node long, check long, mark long")
 
 
 # --- lists -------------------------------------------------------------------------------
@@ -367,15 +368,9 @@ def _frequent(spark: SparkSession, scanned: DataFrame):
     return spark.sparkContext.broadcast((token[order], count[order]))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id of every row of ``docs``.
-
-    component_id is the smallest doc_id of the documents reachable by links, itself included; class_id that of the
-    documents with the same set. Null and empty texts, and such without words, have no shingles, are linked with
-    nothing and have their own id as component. A null id takes part, and has a null component unless a document
-    with an id is reachable. Rows that repeat an id are documents of their own with one id. An empty table
-    gives no rows. Other columns are not read.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, node, component_id, class_id and stays (whether the
+    node is the one that represents its component) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for attempt in range(seed, seed + 4):
@@ -409,7 +404,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = classes.select("node", "class_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     label = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = write_table(named.join(label, "comp").select("node", "class_id", "component_id"), "join-named")
-    alone = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    linked = members.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    return linked.unionByName(alone)
+    stays = F.coalesce(F.col("class_id") == F.col("component_id"), F.col("node") == F.col("comp"))
+    named = named.join(label, "comp").select("node", "class_id", "component_id", stays.alias("stays"))
+    named = write_table(named, "join-named")
+    rows = members.select("doc_id", "mark", F.col("n").alias("n_shingles"), "node")
+    own = F.col("doc_id")
+    alone = rows.where("n_shingles = 0").withColumns({"component_id": own, "class_id": own, "stays": F.lit(True)})
+    return rows.where("n_shingles > 0").join(named, "node").select(alone.columns).unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id of every row of ``docs``.
+
+    component_id is the smallest doc_id of the documents reachable by links, itself included; class_id that of the
+    documents with the same set. Null and empty texts, and such without words, have no shingles, are linked with
+    nothing and have their own id as component. A null id takes part, and has a null component unless a document
+    with an id is reachable. Rows that repeat an id are documents of their own with one id. An empty table
+    gives no rows. Other columns are not read.
+    """
+    return _decided(docs, id_col, text_col, seed).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that represent their components.
+
+    That is the row of the smallest id; in a component without any id, a row of one of its sets. Rows
+    without shingles all stay.
+    """
+    rows = _decided(docs, id_col, text_col, seed).where("stays")
+    rows = rows.where(F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rank = F.row_number().over(Window.partitionBy("node", "doc_id", F.when(F.col("n_shingles") == 0, F.col("mark"))).orderBy("mark"))
+    kept = rows.withColumn("rank", rank).where("rank = 1").select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_mark"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(text_col) == F.col("_mark"))
+    return docs.join(kept, same, "left_semi")
