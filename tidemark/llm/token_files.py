@@ -32,8 +32,9 @@ from .shared import drop_table, written
 LONGEST = 18
 BLOCK_TOKENS = 1 << 17
 CHECKPOINT = 128
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000  # pieces whose ids a worker keeps, about 200 bytes each
 LONGEST_KEPT = 64
+PUNCTUATION = ".,;:!?|&#$%*"
 MAGIC = b"TMH1"
 _HEAD = struct.Struct("<4sIIIIQ")
 
@@ -174,10 +175,10 @@ def read_block(code: Code, block: bytes) -> tuple[list[int | None], np.ndarray,
 class Encoder:
     """Byte-level vocabulary through the tokenizers library, with remembered words.
 
-    The library's pattern starts a new unit at every space that is followed by a visible
-    character, so a text is cut there, each distinct piece is encoded once, and the ids are
-    strung together. Texts with other runs of white space go through the same cut: a space
-    before white space, or at the end, is no cut.
+    The library's pattern starts a new unit at every space or line feed that is followed by a
+    visible character, so a text is cut there; it also starts one where letters are followed by
+    punctuation, so the punctuation that ends a piece is cut off. Each distinct rest is encoded
+    once and the ids are strung together. Other white space is no cut.
     """
 
     def __init__(self, path: str):
@@ -192,31 +193,63 @@ class Encoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")  # a space, as byte-level vocabularies write it
-        self.cut = re.compile(r" (?=[^\s])")
-        self.odd = re.compile(r" (?:\s|$)")
+            self.opens[i] = token[0] in "ĠĊ"  # a space and a line feed, as byte-level vocabularies write them
+        self.cut = re.compile(r"(?=[ \n][^\s])")
+        self.odd = re.compile(r"[ \n](?:\s|$)")
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces without the space that opens all but the first of them."""
-        return self.cut.split(text) if self.odd.search(text) else text.split(" ")
+        """The first piece, then the others without the space or with the line feed that opens them."""
+        if not self.odd.search(text):
+            return text.replace("\n", " \n").split(" ")
+        first, *rest = self.cut.split(text)
+        return [first, *(p[1:] if p[0] == " " else p for p in rest)]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        found = self.tails.get(tail)
+        if found is None:
+            found = self._ids(tail)
+            if len(self.tails) < 100_000 and len(tail) <= 8:
+                self.tails[tail] = found
+        return found
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that are opened by a space."""
-        plain = [w for w in words if " " not in w]
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces with what opens them; pieces without other white space go to the library together."""
+        plain = [w for w in words if w and not any(c in w[1:] for c in " \n")]
         out: dict[str, bytes] = {}
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
-            ids = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, self.kind)
+            text = "".join(w if w[0] == "\n" else " " + w for w in part)
+            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
             start = np.flatnonzero(self.opens[ids])
             if len(start) == len(part) and start[0] == 0:
                 raw, edge = ids.tobytes(), [*(start * self.kind.itemsize).tolist(), ids.nbytes]
                 out.update((w, raw[edge[i] : edge[i + 1]]) for i, w in enumerate(part))
-        for w in words:
-            if w not in out:
-                out[w] = np.array(self.library.encode(" " + w, add_special_tokens=False).ids, self.kind).tobytes()
+        out.update((w, self._ids(w if w[:1] == "\n" else " " + w)) for w in words if w not in out)
         return out
 
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of ``words``, none of which is remembered; remembers them and their parts."""
+        known, parts, asked = self.known, {}, {}
+        for w in words:
+            stem = w.rstrip(PUNCTUATION)
+            if len(stem) < len(w) and stem and stem[-1].isalpha():
+                parts[w] = stem
+                if stem not in known:
+                    asked[stem] = None
+            else:
+                asked[w] = None
+        fresh = self._encoded(list(asked))
+        for w, stem in parts.items():
+            ids = fresh.get(stem)
+            fresh[w] = (known[stem] if ids is None else ids) + self._tail(w[len(stem) :])
+        known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KEPT)
+        return fresh
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without any special ids, as packed integers."""
         known = self.known
@@ -233,7 +266,6 @@ class Encoder:
             found.append(ids)
             gaps.append(holes)
         new = self._new(list(new))
-        known.update((w, i) for w, i in new.items() if len(w) <= LONGEST_KEPT)
         out = []
         first = self.library.encode_batch(heads, add_special_tokens=False)
         for head, ids, holes in zip(first, found, gaps, strict=True):
