@@ -1,0 +1,33 @@
+"""What has been built from what: a unit is skipped only while all identities still match."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .sinks import exists
+
+SCHEMA = "stage string, version string, unit string, input_sha256 string, output_sha256 string, status string, at timestamp"
+
+
+class Ledger:
+    """An append-only table; the last entry of a unit counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], SCHEMA)
+        rows = self.spark.read.schema(SCHEMA).parquet(self.path)
+        last = F.max_by(F.struct("version", "input_sha256", "output_sha256", "status", "at"), "at").alias("l")
+        return rows.groupBy("stage", "unit").agg(last).select("stage", "unit", "l.*")
+
+    def record(self, rows: DataFrame) -> None:
+        """Adds (stage, version, unit, input_sha256, output_sha256, status)."""
+        rows.select("stage", "version", "unit", "input_sha256", "output_sha256", "status", F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+
+    def due(self, units: DataFrame, stage: str, version: str) -> DataFrame:
+        """Units (unit, input_sha256, output_sha256 as found now) that are not completed as recorded."""
+        done = self.entries().where((F.col("stage") == stage) & (F.col("version") == version) & (F.col("status") == "completed"))
+        return units.join(done.select("unit", "input_sha256", "output_sha256"), ["unit", "input_sha256", "output_sha256"], "left_anti")
