@@ -57,7 +57,7 @@ def parse_record(raw: bytes) -> Record:
     fields: list[tuple[str, str]] = []
     for line in lines[1:]:
         if line[:1] in " \t" and fields:
-            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}")
+            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}".strip())
         else:
             name, _, value = line.partition(":")
             fields.append((name.strip(), value.strip()))
