@@ -51,7 +51,7 @@ def labelled_samples(spark: SparkSession) -> DataFrame:
     coded = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     value = F.when(i % 4 == 0, F.substring(digest, 1, 40)).otherwise(F.substring(coded, 1, 40))
     noise = spark.range(SAMPLES).select(F.lit("random").alias("label"), value.alias("value"))
-    parts = F.array(*[F.lit(p) for p in PARTS])
+    parts = F.split(F.lit(" ".join(PARTS)), " ")
     pick = lambda k: F.element_at(parts, (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
     chosen = F.slice(F.array(*[pick(k) for k in range(4)]), 1, (i % 3 + 2).cast("int"))
     capital = F.transform(chosen, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 40)))
@@ -106,7 +106,7 @@ def _written(spans: Column) -> Column:
 
 def log_ratio(value: Column, ratios: list[float]) -> Column:
     """Sum over the pairs of ``value`` of the models' log ratio; pairs with foreign characters count nothing."""
-    table, n = F.array(*[F.lit(r) for r in ratios]), len(ALPHABET)
+    table, n = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>"), len(ALPHABET)  # one constant
 
     def step(acc: Column, i: Column) -> Column:
         a, b = F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))), F.instr(F.lit(ALPHABET), F.substring(value, i + 1, F.lit(1)))
