@@ -139,7 +139,12 @@ def _words(rows: DataFrame) -> list[list[str]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["place", "words"])
 
     found = rows.select("place", "text").mapInArrow(work, "place double, words array<string>").toArrow()
-    texts = {tuple(w): p for p, w in sorted(zip(found["place"].to_pylist(), found["words"].to_pylist(), strict=True), reverse=True)}
+    texts: dict[tuple[str, ...], float] = {}
+    one: dict[str, str] = {}  # a word is held once
+    for batch in found.to_batches(max_chunksize=256):
+        for place, words in zip(batch["place"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            text = tuple(one.setdefault(w, w) for w in words)
+            texts[text] = min(place, texts.get(text, 2.0))
     return [list(t) for t in sorted(texts, key=lambda t: (texts[t], t))]
 
 
