@@ -56,6 +56,14 @@ def counted(rows: DataFrame, part: list[str], n: int, what: str = "rows") -> Dat
     return rows
 
 
+def reconciled(parts: DataFrame, totals: DataFrame, columns: list[str], what: str = "totals") -> None:
+    """The sums of ``parts`` are the one row of ``totals``."""
+    found = parts.agg(*[F.sum(c).alias(c) for c in columns]).first().asDict()
+    stated = totals.select(columns).first().asDict()
+    if found != stated:
+        raise ConstraintError(f"{what}: {found} summed, {stated} stated")
+
+
 def _none(bad: DataFrame, message: str) -> None:
     found = bad.limit(3).collect()
     if found:
