@@ -8,11 +8,10 @@ indexed one by one, frequent ones in pairs; candidates are verified on the whole
 Groups of near copies would make each such list quadratic. Two things prevent that:
 
 * Sets that are equal are one node from the start.
-* Every list of a single token first links its members to its smallest node alone, with
-  verification, and components are formed. Lists whose members are all in one component then have nothing left to
-  find. Only the others are searched in full, for pairs across components, and with the
-  distances to the smallest node at hand: by the triangle inequality a pair is out of reach if these differ by more than
-  1 - t. Lists that are still long are the frequent tokens; they are searched by pairs of tokens.
+* Every list of a single token first links its members to its head alone (the member closest to the
+  others), with verification, and components are formed. Lists whose members are all in one component then have
+  nothing left to find. Only the others are searched in full, for pairs across components, and with the
+  distances to the head at hand: by the triangle inequality a pair is out of reach if these differ by more than 1 - t. Lists that are still long are the frequent tokens; they are searched by pairs of tokens.
 
 Nothing is sampled or capped; which tokens count as frequent only changes the cost.
 """
@@ -37,8 +36,10 @@ FREQUENT_TOKENS = 1 << 20  # most tokens that the order may know as frequent: bo
 LEAST_FREQUENT = 16
 CHUNK = 1 << 22  # tokens that a task counts at once
 SALT_ROWS = 4096  # rows of one token in one list
-LONG_LIST = 64  # unresolved lists beyond this are searched by pairs of tokens
-REMEMBERED = 400_000
+LONG_LIST = 1024  # unresolved lists beyond this are searched by pairs of tokens
+PAIRS = 1 << 21  # pairs that a task holds before it gives out the different ones
+GROUP = 16  # members from which a list is linked as a group
+TEXT_BYTES = 1 << 20  # bytes of text that are worked on at once; a longer text is worked on alone
 
 _PRIME = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -53,41 +54,81 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """64-bit numbers of the shingles of a text; word numbers are remembered."""
+    """64-bit numbers of the shingles of texts, taken over many texts at once.
+
+    A word's number is a sum, modulo 2**64, of one pseudo-random number for each byte times one for its place.
+    """
 
     def __init__(self, seed: int):
         import xxhash
 
         self.seed, self.xxhash = seed, xxhash
-        self.known: dict[bytes, bytes] = {}
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        """Sorted distinct tokens; empty for a text without words."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        ids = list(map(known.get, words))
-        if None in ids:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for i, x in enumerate(ids):
-                if x is None:
-                    w = words[i]
-                    ids[i] = x = self.xxhash.xxh3_64_intdigest(w, self.seed).to_bytes(8, "little")
-                    if len(w) <= 64:
-                        known[w] = x
-        w = np.frombuffer(b"".join(ids), "<u8")
-        if len(w) < WORDS:
-            h = np.array([len(w)], np.uint64)
-            for j in range(len(w)):
-                h = _mixed(h * _PRIME[j] + w[j])
-            return h
+        numbers = _mixed(np.arange(256 + 2 * 4096, dtype=np.uint64) + np.uint64((seed + 1) << 20))
+        self.byte, self.near, self.far = numbers[:256].copy(), numbers[256:4352], numbers[4352:]
+        self.byte[65:91] = self.byte[97:123]  # A-Z as a-z
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Sorted distinct tokens of each text; none for a text without words."""
+        out, held, size = [], [], 0
+        for t in texts:
+            raw = t.encode("utf-8", "surrogatepass") if t else b""
+            if held and size + len(raw) > TEXT_BYTES:
+                out += self._sets(held)
+                held, size = [], 0
+            held.append(raw)
+            size += len(raw)
+        return out + self._sets(held) if held else out
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        none = np.zeros(0, np.uint64)
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        at = np.flatnonzero(~self.space[raw])
+        if not len(at):
+            return [none] * len(texts)
+        first = np.ones(len(at), bool)
+        first[1:] = at[1:] != at[:-1] + 1
+        start = np.flatnonzero(first)
+        length = np.diff(np.append(start, len(at)))
+        place = np.arange(len(at)) - np.repeat(start, length)
+        if length.max() <= 4096:
+            number = self.byte[raw[at]] * self.near[place]
+        else:
+            number = self.byte[raw[at]] * (self.near[place & 4095] ^ (self.far[place >> 12 & 4095] * (place > 4095)))
+        w = _mixed(np.add.reduceat(number, start) + length.astype(np.uint64) * _PRIME[0])
+        edge = np.cumsum(np.array([len(t) + 1 for t in texts]))
+        of = np.searchsorted(edge, at[start], "right")
+        words = np.bincount(of, minlength=len(texts))
         n = len(w) - WORDS + 1
-        h = np.full(n, WORDS, np.uint64)
-        for j in range(WORDS):
-            h = h + w[j : j + n] * _PRIME[j]
-        return np.unique(_mixed(h))
+        if n > 0:
+            whole = of[:n] == of[WORDS - 1 :]
+            h = np.full(n, WORDS, np.uint64)
+            for j in range(WORDS):
+                h += w[j : j + n] * _PRIME[j]
+            h, counts = _mixed(h[whole]), np.bincount(of[:n][whole], minlength=len(texts))
+        else:
+            h, counts = none, np.zeros(len(texts), np.int64)
+        out, last, word = [], 0, 0
+        for c, k in zip(counts.tolist(), words.tolist(), strict=True):
+            if c:
+                t = h[last : last + c]
+                t.sort()
+                new = t[1:] != t[:-1]
+                out.append(t if new.all() else t[np.append(True, new)])
+                last += c
+            elif k:
+                out.append(self._short(w[word : word + k]))
+            else:
+                out.append(none)
+            word += k
+        return out
+
+    def _short(self, w: np.ndarray) -> np.ndarray:
+        h = np.array([len(w)], np.uint64)
+        for j in range(len(w)):
+            h = _mixed(h * _PRIME[j] + w[j])
+        return h
 
     def node(self, tokens: np.ndarray) -> tuple[int, int]:
         """Two 64-bit numbers of a set, signed."""
@@ -134,8 +175,8 @@ def _scan(docs: DataFrame, seed: int) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = sh.tokens(text)
+            doc_ids, texts, marks = (c.to_pylist() for c in batch.columns)
+            for doc_id, t, mark in zip(doc_ids, sh.sets(texts), marks, strict=True):
                 node, check = sh.node(t) if len(t) else (None, None)
                 rows.append((0, doc_id, len(t), node, check, mark))
                 if len(t) and seen.new(node):
@@ -163,22 +204,28 @@ def _postings(docs: DataFrame, seed: int, frequent) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = shingler(seed), _Seen()
         known, count = frequent.value
+        likely = np.zeros(1 << 24, bool)  # by the first bits of a token, whether it may be frequent
+        likely[(known >> np.uint64(40)).astype(np.int64)] = True
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for text in batch.column(0).to_pylist():
-                t = sh.tokens(text)
+            for t in sh.sets(batch.column(0).to_pylist()):
                 if not len(t):
                     continue
                 node = sh.node(t)[0]
                 if not seen.new(node):
                     continue
                 n = len(t)
-                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                often = np.where(known[at] == t, count[at], 0)
                 keep = min(n, n - -(-n * SIMILAR[0] // SIMILAR[1]) + EXTENDED)
-                order = np.lexsort((t, often))[:keep]
-                salts = often[order] // SALT_ROWS + 1
-                for column, x in zip(found, (t[order], salts, (node & 0x7FFFFFFF) % salts, np.full(keep, node), np.full(keep, n), np.arange(1, keep + 1)), strict=True):
+                maybe = np.flatnonzero(likely[(t >> np.uint64(40)).astype(np.int64)])
+                often = np.zeros(n, np.int64)
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(known, t[maybe]), len(known) - 1)
+                    often[maybe] = np.where(known[at] == t[maybe], count[at], 0)
+                    order = np.argsort(often, kind="stable")[:keep]  # tokens are in order already
+                    t, often = t[order], often[order]
+                salts = often[:keep] // SALT_ROWS + 1
+                place = np.arange(1, keep + 1)
+                for column, x in zip(found, (t[:keep], salts, (node & 0x7FFFFFFF) % salts, np.full(keep, node), np.full(keep, n), place), strict=True):
                     column.append(x)
             if found[0]:
                 token, *rest = (np.concatenate(c) for c in found)
@@ -209,10 +256,20 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[int]) -> Iterator[tuple
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Rows of lists with company, with the smallest node of the list: lnode, ln, lpos."""
+    """Rows of lists with company, with the head of the list: lnode, ln, lpos.
+
+    The head is the node in which the fewest rarer tokens come before the token. Near copies differ by rare
+    tokens, so it is the one that is closest to all the others.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, start in _grouped(batches, [0, 2]):
+            again = np.zeros(len(columns[0]), bool)  # a set that several tasks have met
+            again[1:] = columns[3][1:] == columns[3][:-1]
+            again[start] = False
+            if again.any():
+                start = start - np.cumsum(again)[start]
+                columns = [c[~again] for c in columns]
             size = np.diff(np.append(start, len(columns[0])))
             lead = np.repeat(start, size)
             keep = np.flatnonzero((np.repeat(size, size) > 1) | (columns[1] > 1))
@@ -220,11 +277,16 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
                 continue
             token, salts, salt, node, n, pos = columns
             out = [token[keep], salts[keep], salt[keep], node[keep], n[keep], pos[keep], node[lead[keep]], n[lead[keep]], pos[lead[keep]]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "salts", "salt", "node", "n", "pos", "lnode", "ln", "lpos"])
+            out.append(np.repeat(size, size)[keep].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "salts", "salt", "node", "n", "pos", "lnode", "ln", "lpos", "company"])
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "node")
-    return dealt.mapInArrow(work, "token long, salts int, salt int, node long, n int, pos int, lnode long, ln int, lpos int")
+    dealt = postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "pos", "node")
+    return dealt.mapInArrow(work, "token long, salts int, salt int, node long, n int, pos int, lnode long, ln int, lpos int, company int")
+
+
+def _similar_size(n1, n2):
+    return F.least(n1, n2) * SIMILAR[1] >= F.greatest(n1, n2) * SIMILAR[0]
 
 
 def _reach(n1, p1, n2, p2):
@@ -234,16 +296,21 @@ def _reach(n1, p1, n2, p2):
     """
     least, most = SIMILAR
     rest = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) + 2
-    return (rest * (least + most) >= (F.col(n1) + F.col(n2)) * least) & (F.least(n1, n2) * most >= F.greatest(n1, n2) * least)
+    return (rest * (least + most) >= (F.col(n1) + F.col(n2)) * least) & _similar_size(n1, n2)
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member with the smallest node of its list, and of these over the salts of a token."""
-    near = lists.where("node != lnode").where(_reach("n", "pos", "ln", "lpos"))
+    """Pairs (a, b) of each member with the head of its list, and of the heads over the salts of a token.
+
+    In longer lists a member also meets the head if the token's place alone would rule a link out: the
+    pair may share more tokens that come earlier, and large groups are best linked at once.
+    """
+    whole = (F.col("company") >= GROUP) & _similar_size("n", "ln")
+    near = lists.where("node != lnode").where(whole | _reach("n", "pos", "ln", "lpos"))
     heads = lists.where("salts > 1 AND node = lnode")
-    top = heads.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("top"))
+    top = heads.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("top"))
     over = heads.join(top, "token").withColumns({"tn": F.col("top.n"), "tp": F.col("top.pos")})
-    over = over.where("node != top.node").where(_reach("n", "pos", "tn", "tp"))
+    over = over.where("node != top.node").where(_similar_size("n", "tn"))
     pairs = near.select(F.col("lnode").alias("a"), F.col("node").alias("b")).unionByName(over.select(F.col("top.node").alias("a"), F.col("node").alias("b")))
     return pairs.distinct()
 
@@ -257,9 +324,8 @@ def _texts(docs: DataFrame, seed: int, nodes: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = shingler(seed), _Seen()
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                t = sh.tokens(text)
+            out, asked = [], batch.column(0).to_pylist()
+            for text, t in zip(asked, sh.sets(asked), strict=True):
                 if len(t):
                     node = sh.node(t)[0]
                     if seen.new(node):
@@ -277,15 +343,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, last, left = shingler(seed), None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, text_a, b, text_b = (c.to_pylist() for c in batch.columns)
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            heads = [i for i in range(len(a)) if a[i] != (a[i - 1] if i else last)]
+            lefts = dict(zip(heads, sh.sets(batch.column(1).take(pa.array(heads, pa.int64())).to_pylist()), strict=True))
             inter, both = [], []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], sh.tokens(text_a[i])
-                right = sh.tokens(text_b[i])
-                shared = len(np.intersect1d(left, right, assume_unique=True))
+            for i, right in enumerate(sh.sets(batch.column(3).to_pylist())):
+                left = lefts.get(i, left)
+                at = np.minimum(np.searchsorted(left, right), len(left) - 1)
+                shared = int((left[at] == right).sum())
                 inter.append(shared)
                 both.append(len(left) + len(right) - shared)
+            last = a[-1] if a else last
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, inter, both)], names=["a", "b", "inter", "both"])
 
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -301,9 +369,12 @@ def _links(verified: DataFrame) -> DataFrame:
 
 
 def _unresolved(lists: DataFrame, comps: DataFrame, verified: DataFrame) -> DataFrame:
-    """Rows of tokens whose members are in more than one component: comp, the distance to lnode, and how many."""
+    """Rows of tokens whose members are in more than one component: comp, the distance to lnode, and how many.
+
+    A list's head has met all the others already, so it is left out where the list is the whole token.
+    """
     known = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = write_table(known, "join-lists")
+    known = write_table(known.where("salts > 1 OR node != lnode"), "join-lists")
     split = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members"))
     rows = known.join(split.where("c0 != c1").select("token", "members"), "token")
     measured = verified.select(F.col("a").alias("lnode"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("both")).alias("far"))
@@ -313,11 +384,11 @@ def _unresolved(lists: DataFrame, comps: DataFrame, verified: DataFrame) -> Data
 
 
 def _combinations(rows: DataFrame) -> DataFrame:
-    """Lists by pairs of frequent tokens; the row is that of the pair's first token."""
+    """Lists by pairs of frequent tokens; the place is that of the pair's second token, the distance that of the first."""
     each = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "n", "comp", "lnode", "far"))).alias("t"))
     first = each.select("node", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("i")).where("size(t) > 1")
     pair = first.select("node", F.element_at("t", F.col("i")).alias("x"), F.explode(F.expr("slice(t, i + 1, size(t))")).alias("y"))
-    return pair.select(F.xxhash64("x.token", "y.token").alias("token"), "node", "x.n", "x.pos", "x.comp", "x.lnode", "x.far")
+    return pair.select(F.xxhash64("x.token", "y.token").alias("token"), "node", "x.n", "y.pos", "x.comp", "x.lnode", "x.far")
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
@@ -326,31 +397,38 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     apart = 1 - least / most + 1e-9
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, start in _grouped(batches, [0]):
-            edge = np.append(start, len(columns[0]))
-            a, b = [], []
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                _, node, n, pos, comp, lnode, far = (c[lo:hi] for c in columns)
-                if hi - lo < 2 or (comp == comp[0]).all():
-                    continue
-                order = np.argsort(n, kind="stable")  # a partner is at most 4/3 as large: a range
-                node, n, pos, comp, lnode, far = (c[order] for c in (node, n, pos, comp, lnode, far))
-                stop = np.searchsorted(n * least, n * most, "right")
-                rest = n - pos + 2
-                for i in range(len(n) - 1):
-                    j = slice(i + 1, stop[i])
-                    ok = (comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) * (least + most) >= (n[j] + n[i]) * least)
-                    ok &= (lnode[j] != lnode[i]) | (far[j] < 0) | (far[i] < 0) | (np.abs(far[j] - far[i]) <= apart)
-                    hits = node[j][ok]
-                    if len(hits):
-                        a.append(np.minimum(hits, node[i]))
-                        b.append(np.maximum(hits, node[i]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        held: list[np.ndarray] = []
+
+        def pairs() -> pa.RecordBatch:
+            a, b = np.concatenate(held[0::2]), np.concatenate(held[1::2])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+        for (_, node, n, pos, comp, lnode, far), start in _grouped(batches, [0]):
+            end = np.repeat(np.append(start[1:], len(node)), np.diff(np.append(start, len(node))))
+            rest, at = n - pos + 2, np.arange(len(node))
+            for step in range(1, len(node)):  # each row with the one so many rows further on in its list
+                at = at[at + step < end[at]]
+                at = at[n[at + step] * least <= n[at] * most]  # sizes ascend, so what fails now fails further on
+                if not len(at):
+                    break
+                to = at + step
+                ok = (comp[to] != comp[at]) & (np.minimum(rest[to], rest[at]) * (least + most) >= (n[to] + n[at]) * least)
+                ok &= (lnode[to] != lnode[at]) | (far[to] < 0) | (far[at] < 0) | (np.abs(far[to] - far[at]) <= apart)
+                if ok.any():
+                    one, other = node[at[ok]], node[to[ok]]
+                    held += [np.minimum(one, other), np.maximum(one, other)]
+                    if sum(map(len, held)) > PAIRS:
+                        yield pairs()
+                        held.clear()
+        if held:
+            yield pairs()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wide = [F.col(c).cast("long").alias(c) for c in ("token", "node", "n", "pos", "comp", "lnode")]
-    dealt = rows.select(*wide, "far").repartition(parts, "token").sortWithinPartitions("token")
+    dealt = rows.select(*wide, "far").repartition(parts, "token").sortWithinPartitions("token", "n")
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -399,8 +477,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFram
         if not lacking.isEmpty():
             texts = texts.unionByName(_texts(docs, attempt, lacking))
         if not more.isEmpty():
-            links = links.unionByName(_links(_verified(more, texts, attempt)))
-            comps = write_table(components(links), "join-components")
+            found = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # stars stand for the links so far
+            comps = write_table(components(found.unionByName(_links(_verified(more, texts, attempt)))), "join-components")
 
     named = classes.select("node", "class_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     label = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
