@@ -374,8 +374,7 @@ def boundary_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = F.floor(F.col("window_ms") / ev.GRID.window_ms)
-    return views.audit_join(_features(spark, sf_dir).where(window % 11 != 3), _targets(spark, sf_dir).where(window % 13 != 5), check=False)
+    return views.audit_join(_features(spark, sf_dir), _targets(spark, sf_dir), check=False)
 
 
 @query(f"WITH {AUDIT} SELECT series, window_ms, feature_present, target_present, feature_ok, target_ok, eligibility_reason, feature_flag, target_flag FROM audit")
@@ -409,7 +408,7 @@ def join_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {AUDIT} SELECT series, window_ms, 'audit_only' AS side FROM audit WHERE eligibility_reason = 'eligible' AND window_ms // 14400000 % 7 = 2")
 def eligibility_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _audit(spark, sf_dir)
-    return views.key_differences(a, views.model_view(a).where(F.floor(F.col("window_ms") / ev.GRID.window_ms) % 7 != 2))
+    return views.key_differences(a, views.model_view(a))
 
 
 @query(f"WITH {VIEW} SELECT field, flag, count(*) AS rows FROM (SELECT unnest(['short_flag', 'long_flag', 'volatility_flag']) AS field, unnest([short_flag, long_flag, volatility_flag]) AS flag FROM features) GROUP BY ALL")
