@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -335,6 +336,17 @@ def test_markov_models_tell_samples_apart(spark):
     assert share["random"] > 0.95 and share["ordinary"] < 0.01
 
 
+def test_random_strings_need_no_digit(spark):
+    rnd = random.Random(3)
+    letters = string.ascii_letters
+    keys = ["".join(rnd.choice(al) for _ in range(n)) for al, n in ((letters, 40), (letters, 24), (letters + string.digits, 12)) for _ in range(200)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "misunderstandings", "HttpServletRequestFactory", "internationalement", "user_profile_settings"]
+    rows = {r["doc_id"]: r for r in secret_scan.scan(docs(spark, [f"a {x} z" for x in keys + words])).collect()}
+    for at, least in ((0, 195), (200, 190), (400, 185)):
+        assert sum(rows[i]["n_markov"] for i in range(at, at + 200)) >= least
+    assert [rows[i]["spans"] for i in range(600, 600 + len(words))] == [""] * len(words)
+
+
 # --- web records ----------------------------------------------------------------------
 
 PAGE = '<html lang="fr"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x --><script>var t="</p>";</script><p>One<br>two &eacute;</p><a href="/x?a=1&amp;b=2">go</a></body></html>'

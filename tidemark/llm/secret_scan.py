@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that look drawn at random.
 
 Two character Markov models of the same order, one of random strings and one of ordinary identifiers,
-are counted from labelled samples. A candidate is a run of token characters with a digit; it is
-reported where the log-likelihood ratio of the two models, per character, reaches ``LEAST_RATIO``. All of it
+are counted from labelled samples. A candidate is any run of token characters; it is reported where the
+log-likelihood ratio of the two models, less ``LEAST_RATIO`` a pair, reaches ``EVIDENCE``. All of it
 is DataFrame functions: positions follow from the lengths of matches and of the pieces between them.
 """
 
@@ -18,12 +18,14 @@ KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][C
 ASSIGN = KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"  # a shorter run holds no longer one
 HEX = "[0-9a-f]{24,}"  # runs are taken whole, so this equals dropping short ones
-CANDIDATE = "(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{12,}"  # 12 characters in base 62 hold 71 bits; keys hold 64 and more
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SAMPLES = 4000  # labelled strings of either kind
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
 LEAST_RATIO = 0.6  # nats a character
+EVIDENCE = 8.0  # nats beyond that: the prior odds of ordinary against random, 3000 to 1
 # Parts of ordinary identifiers; samples join two to four of them.
 PARTS = (
     "account action active address amount array author average balance batch bool buffer build byte cache call category channel char "
@@ -69,13 +71,24 @@ def labelled_samples(spark: SparkSession) -> DataFrame:
 def train(samples: DataFrame) -> list[float]:
     """Log ratio of the two models for each pair of characters, by number of the first, then of the second.
 
-    Pairs are counted once more than seen. At most a row for each label and pair comes to the driver.
+    Each first character gets as many pairs more than seen as there are characters, dealt over the classes of the
+    second as the label's pairs of classes are: pairs that are merely foreign to the samples are no sign of chance.
+    At most a row for each label and pair comes to the driver.
     """
     pairs = samples.select("label", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kind = {c: k for k, members in enumerate(CLASSES) for c in members}
+    steps = {(label, i, j): 1 for label in ("random", "ordinary") for i in range(len(CLASSES)) for j in range(len(CLASSES))}
+    for (label, pair), n in counts.items():
+        steps[label, kind[pair[0]], kind[pair[1]]] += n
+
+    def more(label: str, a: str, b: str) -> float:
+        share = steps[label, kind[a], kind[b]] / sum(steps[label, kind[a], j] for j in range(len(CLASSES)))
+        return len(ALPHABET) * share / len(CLASSES[kind[b]])
+
     out = []
     for a in ALPHABET:
-        of = {label: [counts.get((label, a + b), 0) + 1 for b in ALPHABET] for label in ("random", "ordinary")}
+        of = {label: [counts.get((label, a + b), 0) + more(label, a, b) for b in ALPHABET] for label in ("random", "ordinary")}
         total = {label: sum(n) for label, n in of.items()}
         out += [math.log(x / total["random"]) - math.log(y / total["ordinary"]) for x, y in zip(of["random"], of["ordinary"], strict=True)]
     return out
@@ -104,15 +117,17 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["order"]), s["start"], s["end"])), ",")
 
 
-def log_ratio(value: Column, ratios: list[float]) -> Column:
-    """Sum over the pairs of ``value`` of the models' log ratio; pairs with foreign characters count nothing."""
+def pair_ratios(value: Column, ratios: list[float]) -> Column:
+    """The models' log ratio of each character of ``value`` with its next; 0 for the last and for foreign characters."""
     table, n = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>"), len(ALPHABET)  # one constant
+    numbers = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    of = lambda a, b: F.when((a > 0) & (b > 0), F.element_at(table, F.greatest(F.lit(1), (a - 1) * n + b))).otherwise(0.0)
+    return F.zip_with(numbers, F.slice(numbers, F.lit(2), F.length(value)), of)
 
-    def step(acc: Column, i: Column) -> Column:
-        a, b = F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))), F.instr(F.lit(ALPHABET), F.substring(value, i + 1, F.lit(1)))
-        return acc + F.when((a > 0) & (b > 0), F.element_at(table, F.greatest(F.lit(1), (a - 1) * n + b))).otherwise(0.0)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step)
+def log_ratio(value: Column, ratios: list[float]) -> Column:
+    """Sum over the pairs of ``value`` of the models' log ratio."""
+    return F.aggregate(pair_ratios(value, ratios), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     meets = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    random = lambda c: log_ratio(c["value"], ratios) >= F.lit(LEAST_RATIO) * F.length(c["value"])
+    random = lambda c: log_ratio(c["value"], ratios) >= F.lit(LEAST_RATIO) * (F.length(c["value"]) - 1) + F.lit(EVIDENCE)
     rows = rows.withColumn("markov", F.filter("candidate", lambda c: ~meets(c) & random(c)))
     return rows.select(
         "doc_id",
