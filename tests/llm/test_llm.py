@@ -347,6 +347,22 @@ def test_random_strings_need_no_digit(spark):
     assert [rows[i]["spans"] for i in range(600, 600 + len(words))] == [""] * len(words)
 
 
+def test_random_strings_inside_ordinary_runs(spark):
+    rnd = random.Random(4)
+    key = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    heads = ["sk_live_", "com/account/settings/", "/api/v1/users/profile/session/", "download/files/archive/release/", ""]
+    made = [(h, key(32), tail) for h in heads for tail in ("", "/download/files/archive") for _ in range(40)]
+    texts = [f"a {h}{k}{t} z" for h, k, t in made] + [f"{key(32)}/user/profile/settings/download/files/archive/release/{key(32)}"]
+    texts += ["/api/v1/users/profile/session/", "x86_64-linux-gnu", "sha256_digest_value"]
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(spark, texts)).collect()}
+    good = [rows[i] == f"markov:{2 + len(h)}:{2 + len(h) + 32}" for i, (h, _, _) in enumerate(made)]
+    assert sum(good) >= 0.9 * len(good)
+    covered = [any(int(s.split(":")[1]) <= 2 + len(h) and 34 + len(h) <= int(s.split(":")[2]) for s in rows[i].split(",") if s) for i, (h, _, _) in enumerate(made)]
+    assert sum(covered) >= 0.97 * len(covered)
+    both = len(texts[len(made)])
+    assert rows[len(made)] == f"markov:0:32,markov:{both - 32}:{both}" and {rows[i] for i in range(len(made) + 1, len(texts))} == {""}
+
+
 # --- web records ----------------------------------------------------------------------
 
 PAGE = '<html lang="fr"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x --><script>var t="</p>";</script><p>One<br>two &eacute;</p><a href="/x?a=1&amp;b=2">go</a></body></html>'

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that look drawn at random.
 
 Two character Markov models of the same order, one of random strings and one of ordinary identifiers,
-are counted from labelled samples. A candidate is any run of token characters; it is reported where the
-log-likelihood ratio of the two models, less ``LEAST_RATIO`` a pair, reaches ``EVIDENCE``. All of it
+are counted from labelled samples. A candidate is any run of token characters; those segments of it are
+reported where the log-likelihood ratio of the two models, less ``LEAST_RATIO`` a pair, rises by ``EVIDENCE``. All of it
 is DataFrame functions: positions follow from the lengths of matches and of the pieces between them.
 """
 
@@ -25,6 +25,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SAMPLES = 4000  # labelled strings of either kind
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
 LEAST_RATIO = 0.6  # nats a character
+MOST = 4.0  # nats a pair
 EVIDENCE = 8.0  # nats beyond that: the prior odds of ordinary against random, 3000 to 1
 # Parts of ordinary identifiers; samples join two to four of them.
 PARTS = (
@@ -73,6 +74,8 @@ def train(samples: DataFrame) -> list[float]:
 
     Each first character gets as many pairs more than seen as there are characters, dealt over the classes of the
     second as the label's pairs of classes are: pairs that are merely foreign to the samples are no sign of chance.
+    Pairs with a separator may speak against chance, not for it, so a segment does not start or end in the word beside one;
+    no other pair counts more than ``MOST``, so that one foreign pair (``v1``) is no evidence alone.
     At most a row for each label and pair comes to the driver.
     """
     pairs = samples.select("label", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
@@ -90,7 +93,8 @@ def train(samples: DataFrame) -> list[float]:
     for a in ALPHABET:
         of = {label: [counts.get((label, a + b), 0) + more(label, a, b) for b in ALPHABET] for label in ("random", "ordinary")}
         total = {label: sum(n) for label, n in of.items()}
-        out += [math.log(x / total["random"]) - math.log(y / total["ordinary"]) for x, y in zip(of["random"], of["ordinary"], strict=True)]
+        row = [math.log(x / total["random"]) - math.log(y / total["ordinary"]) for x, y in zip(of["random"], of["ordinary"], strict=True)]
+        out += [min(x, 0.0 if {a, b} & set(CLASSES[3]) else MOST) for b, x in zip(ALPHABET, row, strict=True)]
     return out
 
 
@@ -130,6 +134,45 @@ def log_ratio(value: Column, ratios: list[float]) -> Column:
     return F.aggregate(pair_ratios(value, ratios), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def segments(run: Column, ratios: list[float]) -> Column:
+    """The random-looking segments of a run (start, order, end, value), as an array of the same kind.
+
+    One fold over the pairs: a segment starts where the sum of ratios is least and ends where it is greatest, and is
+    closed once the sum has fallen by ``EVIDENCE`` from there. Ends are then moved out to the next separator.
+    """
+    value, origin = run["value"], run["start"]
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    state = lambda *x: F.struct(*[c.alias(n) for c, n in zip(x, ("at", "sum", "from", "peak", "to", "found"), strict=True)])
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["peak"] >= EVIDENCE, F.concat(acc["found"], F.array(F.struct(acc["from"].alias("from"), acc["to"].alias("to"))))).otherwise(acc["found"])
+
+    def step(acc: Column, x: Column) -> Column:
+        at, total = acc["at"] + 1, acc["sum"] + x - LEAST_RATIO
+        return (
+            F.when(total <= F.greatest(F.lit(0.0), acc["peak"] - EVIDENCE), state(at, F.lit(0.0), at, F.lit(0.0), at, closed(acc)))
+            .when(total > acc["peak"], state(at, total, acc["from"], total, at + 1, acc["found"]))
+            .otherwise(state(at, total, acc["from"], acc["peak"], acc["to"], acc["found"]))
+        )
+
+    zero = state(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), none)
+    found = F.aggregate(pair_ratios(value, ratios), zero, step, closed)
+    before = lambda x: F.length(F.regexp_extract(F.substring(value, F.lit(1), x["from"]), "(?<![A-Za-z0-9])[A-Za-z0-9]*+$", 0))
+    after = lambda x: F.length(F.regexp_extract(F.substring(value, x["to"] + 1, F.length(value)), "^[A-Za-z0-9]*+", 0))
+    wide = F.transform(found, lambda x: F.struct((x["from"] - before(x)).alias("from"), (x["to"] + after(x)).alias("to")))
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))))
+        return F.when(F.coalesce(last["to"] > x["from"], F.lit(False)), joined).otherwise(F.concat(acc, F.array(x)))
+
+    def span(x: Column) -> Column:
+        text = F.substring(value, x["from"] + 1, x["to"] - x["from"])
+        return F.struct((origin + x["from"]).alias("start"), run["order"].alias("order"), (origin + x["to"]).alias("end"), text.alias("value"))
+
+    return F.transform(F.aggregate(wide, none, merge), span)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 and spans of every row of ``docs``.
 
@@ -149,8 +192,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     meets = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    random = lambda c: log_ratio(c["value"], ratios) >= F.lit(LEAST_RATIO) * (F.length(c["value"]) - 1) + F.lit(EVIDENCE)
-    rows = rows.withColumn("markov", F.filter("candidate", lambda c: ~meets(c) & random(c)))
+    rows = rows.withColumn("markov", F.filter(F.flatten(F.transform("candidate", lambda c: segments(c, ratios))), lambda c: ~meets(c)))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
