@@ -48,35 +48,85 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 def do_manifest(spark: SparkSession, a) -> int:
     if sinks.exists(spark, a.output):
         raise FileExistsError(a.output)
-    manifest.records(tables.file_identity(spark, a.root, recursive=a.recursive)).write.mode("errorifexists").parquet(a.output)
+    files = tables.file_identity(spark, a.root, recursive=a.recursive)
+    made = manifest.zip_records(files) if manifest.layout(files, a.layout) == "zip" else manifest.records(files)
+    if made.isEmpty():
+        raise ValueError(f"no recognized inputs in {a.root}")
+    made.write.mode("errorifexists").parquet(a.output)
     return 0
 
 
 def do_audit(spark: SparkSession, a) -> int:
     rows = raw_events.events(raw_events.read_lines(spark, a.source, a.member))
     start, stop = _millis(a.start), _millis(a.start) + a.duration_seconds * 1000
-    counts = audit.scan_counts(rows, a.stream, start, stop)
-    cover = audit.coverage(raw_events.closed_klines(rows, a.stream), start, stop).drop("in_window")
-    found = counts.join(cover, "series", "left")
+    read = spark.read.format("binaryFile").load(a.source).select(F.col("_metadata.file_name").alias("series"))  # contents are not read
+    cover = audit.coverage(raw_events.closed_klines(rows, a.stream), start, stop, archives=read)
+    found = audit.archive_audit(audit.scan_counts(rows, a.stream, start, stop), cover, read)
     out = found.withColumns({c: epoch_us(F.col(c)) for c in ("first_received", "last_received")}).collect()
     sinks.write_json(spark, {"archives": [r.asDict() for r in out]}, a.output, overwrite=False)
     return 0
 
 
+def _damaged(spark: SparkSession, records: list) -> dict[str, str]:
+    """Groups whose file is not there or not the one of the manifest, with what is wrong."""
+    wrong = {r["group_id"]: f"input is missing: {r['path']}" for r in records if not sinks.exists(spark, r["path"])}
+    there = [r for r in records if r["group_id"] not in wrong]
+    found = {f["path"]: (f["size_bytes"], f["sha256"]) for f in tables.file_identity(spark, [r["path"] for r in there]).collect()} if there else {}
+    for r in there:
+        if found.get(r["path"]) != (r["size_bytes"], r["sha256"]):
+            wrong[r["group_id"]] = f"identity mismatch: expected {(r['size_bytes'], r['sha256'])}, found {found.get(r['path'])}"
+    return wrong
+
+
+def _audit_days(spark: SparkSession, a, records: list) -> None:
+    """Audits of whole days, one folder for each group; those of other groups stay as they are."""
+    due = spark.createDataFrame([(r["group_id"], r["name"], r["day_ms"]) for r in records], "group_id string, series string, day_ms long")
+    rows = raw_events.events(raw_events.read_lines(spark, [r["path"] for r in records])).join(due, "series")
+    counts = audit.scan_counts(rows, a.stream, F.col("day_ms"), F.col("day_ms") + 86_400_000)
+    klines = raw_events.closed_klines(rows, a.stream).join(due, "series")
+    cover = audit.coverage(klines.withColumn("start_ms", F.col("start_ms") - F.col("day_ms")), 0, 86_400_000, archives=due)
+    sinks.write_days(audit.archive_audit(counts, cover, due), a.output, "group_id")
+
+
 def do_batch(spark: SparkSession, a) -> int:
-    """Audits every record that is due in one job over all their files."""
+    """Audits every record that is due in one job over all their files; if that fails, each in one of its own.
+
+    Inputs must be those of the manifest before and after. Statuses are written back, so a later run goes on.
+    """
     cover = spark.createDataFrame(list(tables.coverage_map(spark, a.coverage).items()), "alias string, start_utc string")
-    due = manifest.runnable(manifest.with_coverage(_read(spark, a.manifest), cover), a.force).where("inputs['binance'] IS NOT NULL")
-    files = [r["p"] for r in due.select(F.col("inputs")["binance"]["relative_path"].alias("p")).collect()]
-    if not files:
+    due = manifest.runnable(manifest.with_coverage(_read(spark, a.manifest), cover), a.force)
+    item = F.coalesce(F.col("inputs")["binance"], F.col("inputs")[manifest.ZIP])
+    day = (epoch_us(parse_utc(F.col("start_utc"))) / 1000).cast("long").alias("day_ms")
+    records = due.select("group_id", item["relative_path"].alias("path"), item["name"].alias("name"), item["size_bytes"].alias("size_bytes"), item["sha256"].alias("sha256"), day).collect()
+    failed = {r["group_id"]: "no audit input" for r in records if r["path"] is None}
+    given = [r for r in records if r["path"] is not None]
+    if len({r["name"] for r in given}) < len(given):
+        raise ValueError("two due inputs have one name")
+    put = lambda states: sinks.replace_table(manifest.with_status(_read(spark, a.manifest), states), a.manifest)
+    failed |= _damaged(spark, given)
+    work = [r for r in given if r["group_id"] not in failed]
+    if not records:
         return 0
-    start = due.select(F.col("inputs")["binance"]["name"].alias("series"), (epoch_us(parse_utc(F.col("start_utc"))) / 1000).cast("long").alias("day_ms"))
-    rows = raw_events.closed_klines(raw_events.events(raw_events.read_lines(spark, files)), a.stream).join(start, "series")
-    inside = rows.where((F.col("start_ms") >= F.col("day_ms")) & (F.col("start_ms") < F.col("day_ms") + 86_400_000))
-    shifted = inside.withColumn("start_ms", F.col("start_ms") - F.col("day_ms"))
-    days = audit.coverage(shifted, 0, 86_400_000)
-    days.write.mode("overwrite").parquet(a.output)
-    return 0
+    put({r["group_id"]: ("failed", failed[r["group_id"]]) if r["group_id"] in failed else ("running", None) for r in records})
+    done: list[str] = []
+    try:
+        try:
+            if work:
+                _audit_days(spark, a, work)
+        except Exception:  # one bad archive must not stop the others
+            for r in work:
+                try:
+                    _audit_days(spark, a, [r])
+                except Exception as e:
+                    failed[r["group_id"]] = str(e)[:500]
+        failed |= _damaged(spark, [r for r in work if r["group_id"] not in failed])
+        done = [r["group_id"] for r in work if r["group_id"] not in failed]
+    finally:
+        left = {r["group_id"]: ("interrupted", None) for r in work}
+        put(left | {g: ("failed", e) for g, e in failed.items()} | {g: ("completed", None) for g in done})
+    for group, error in failed.items():
+        print(f"failed {group}: {error}", file=sys.stderr)
+    return 1 if failed else 0
 
 
 def do_feature_view(spark: SparkSession, a) -> int:
@@ -214,7 +264,7 @@ def _needed(*names: str) -> list:
 
 
 COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], int], list]] = {
-    "manifest": (do_manifest, [("root", {}), ("--recursive", {"action": "store_true"}), *_OUT]),
+    "manifest": (do_manifest, [("root", {}), ("--recursive", {"action": "store_true"}), ("--layout", {"choices": ["auto", "grouped-gzip", "zip"], "default": "auto"}), *_OUT]),
     "audit": (do_audit, [*_SOURCE, *_WINDOWS, *_OUT]),
     "batch": (do_batch, [*_needed("manifest", "coverage"), ("--force", {"action": "store_true"}), ("--stream", {"default": STREAM}), *_OUT]),
     "feature-view": (do_feature_view, [*_SOURCE, *_WINDOWS, *_LOOK, *_OUT]),

@@ -34,6 +34,11 @@ def scan_counts(events: DataFrame, stream: str, start_ms: Column | int, stop_ms:
     )
 
 
+def archive_audit(counts: DataFrame, cover: DataFrame, archives: DataFrame) -> DataFrame:
+    """Scan counts beside coverage for every one of ``archives``; one without records has zeros."""
+    return archives.join(counts, "series", "left").fillna(0).join(cover.drop("in_window"), "series", "left")
+
+
 def stream_counts(events: DataFrame) -> DataFrame:
     """Records by stream; records without that field count under a name of their own."""
     return events.where("NOT malformed").groupBy(F.coalesce("stream", F.lit(MISSING)).alias("stream")).agg(F.count(F.lit(1)).alias("records"))
@@ -53,8 +58,11 @@ def arrival_gaps(klines: DataFrame, step_ms: int = 1000) -> DataFrame:
     return x.withColumns({"gap": F.coalesce(F.col("delta_ms") > step_ms, F.lit(False)), "backward": F.coalesce(F.col("delta_ms") < 0, F.lit(False))})
 
 
-def coverage(klines: DataFrame, start_ms: int, stop_ms: int, step_ms: int = 1000) -> DataFrame:
-    """Per archive: closed klines in the interval, distinct and missing starts, duplicates, gaps."""
+def coverage(klines: DataFrame, start_ms: int, stop_ms: int, step_ms: int = 1000, archives: DataFrame | None = None) -> DataFrame:
+    """Per archive: closed klines in the interval, distinct and missing starts, duplicates, gaps.
+
+    Every series of ``archives``, or else of ``klines``, has a row; without klines in the interval all its starts are missing.
+    """
     inside = klines.where((F.col("start_ms") >= start_ms) & (F.col("start_ms") < stop_ms))
     n = inside.groupBy("series").agg(F.count(F.lit(1)).alias("in_window"), F.count_distinct("start_ms").alias("distinct_starts"))
     gaps = arrival_gaps(inside, step_ms).groupBy("series").agg(
@@ -62,7 +70,8 @@ def coverage(klines: DataFrame, start_ms: int, stop_ms: int, step_ms: int = 1000
         F.count_if("backward").alias("backward_starts"),
         F.coalesce(F.max(F.when(F.col("gap"), F.col("delta_ms") - step_ms)), F.lit(0)).alias("largest_gap_ms"),
     )
-    x = n.join(gaps, "series")
+    every = (klines if archives is None else archives).select("series").distinct()
+    x = every.join(n.join(gaps, "series"), "series", "left").fillna(0)
     return x.withColumns(
         {"duplicates": F.col("in_window") - F.col("distinct_starts"), "missing_starts": F.lit((stop_ms - start_ms) // step_ms) - F.col("distinct_starts")}
     )

@@ -12,6 +12,31 @@ ROLES = {
     "polymarket": r"^polymarket_raw_events_(\d{4}-\d{2}-\d{2})\.jsonl\.gz$",
     "recorder_log": r"^recorder\.log\.(\d{4}-\d{2}-\d{2})\.gz$",
 }
+ZIP = "zip_archive"  # fixed value: role of a legacy archive, which is a record of its own
+
+
+def layout(files: DataFrame, wanted: str = "auto") -> str:
+    """``grouped-gzip`` or ``zip``; without a wish a folder that holds both stops it."""
+    if wanted != "auto":
+        return wanted
+    grouped, zipped = not classify(files).isEmpty(), not files.where("name LIKE '%.zip'").isEmpty()
+    if grouped and zipped:
+        raise ValueError("both grouped gzip inputs and zip archives; name a layout")
+    return "zip" if zipped else "grouped-gzip"
+
+
+def zip_records(files: DataFrame) -> DataFrame:
+    """A record for each zip archive, known by its path, with the columns of ``records``."""
+    x = files.where("name LIKE '%.zip'")
+    item = F.struct("name", F.col("path").alias("relative_path"), "size_bytes", "sha256")
+    return x.select(
+        F.lit(None).cast("string").alias("day"),
+        F.col("path").alias("group_id"),
+        F.create_map(F.lit(ZIP), item).alias("inputs"),
+        F.array().cast("array<string>").alias("missing_input_roles"),
+        F.sha2(F.concat(F.lit(f"{ZIP}:"), "sha256"), 256).alias("identity"),
+        F.lit("pending").alias("status"),
+    )
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -44,6 +69,15 @@ def records(files: DataFrame) -> DataFrame:
     )
 
 
+def with_status(manifest: DataFrame, statuses: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """The manifest with new (status, last_error) of some groups."""
+    new = manifest.sparkSession.createDataFrame([(g, *s) for g, s in statuses.items()], "group_id string, new_status string, new_error string")
+    known = manifest if "last_error" in manifest.columns else manifest.withColumn("last_error", F.lit(None).cast("string"))
+    hit = F.col("new_status").isNotNull()
+    x = known.join(new, "group_id", "left").withColumns({"status": F.coalesce("new_status", "status"), "last_error": F.when(hit, F.col("new_error")).otherwise(F.col("last_error"))})
+    return x.select(known.columns)
+
+
 def role_counts(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.explode(F.map_keys("inputs")).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("records"))
 

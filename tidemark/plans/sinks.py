@@ -76,6 +76,16 @@ def write_json(spark: SparkSession, document: Any, path: str, overwrite: bool =
         raise OSError(f"{path} could not be put in place")
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """A Parquet table in place of the one that ``df`` may be read from."""
+    fs, target = _fs(df.sparkSession, path)
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    df.write.parquet(aside)
+    fs.delete(target, True)
+    if not fs.rename(_fs(df.sparkSession, aside)[1], target):
+        raise OSError(f"{path} could not be put in place")
+
+
 def write_days(df: DataFrame, path: str, day: str = "day") -> None:
     """A Parquet folder for each day; days that are not in ``df`` stay as they are."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

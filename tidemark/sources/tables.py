@@ -56,7 +56,7 @@ def minute_bars(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(F.lit("1m").alias("series"), "t", "open", "high", "low", "close", "volume")
 
 
-def file_identity(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
+def file_identity(spark: SparkSession, path: str | list[str], pattern: str = "*", recursive: bool = False) -> DataFrame:
     """path, name, size_bytes and sha256 of the files of a folder. Spark limits a file's content to 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     return files.select("path", F.col("_metadata.file_name").alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
