@@ -1,5 +1,6 @@
 """Operators on training text: exactness against brute force, round trips, odd rows."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -399,6 +400,39 @@ def test_records_keep_sources_and_reject_damage():
             warc_derive.parse_record(raw)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T <b></title><meta x=1><body><p>One</p><a href=/y>two</a>", "One\ntwo"),
+        ("<head><title>T</title><p>One</p>", "One"),
+        ("<head><title>T</title>\n One <a href=/y>two</a>", "One two"),
+        ("<head><script>'<p>'</script><title>T</title></head>One", "One"),
+        ("<head><title>T</title></head><noscript>n</noscript>One <noscript>two <template>three", "One two three"),
+        ("<head><title>T</title>", ""),
+    ],
+)
+def test_open_heads_hide_no_text(page, text):
+    assert " ".join(warc_derive.visible_text(page).split()) == " ".join(text.split())
+
+
+@pytest.mark.parametrize("cut", [0, 30])
+@pytest.mark.parametrize("coding", ["", "gzip", "deflate", "raw"])
+@pytest.mark.parametrize("chunked", [False, True])
+def test_coded_payloads_are_decoded(coding, chunked, cut):
+    body = ("<p>One two</p>" + "".join(f"<p>{i * 7919}</p>" for i in range(300)) + "<a href=/z>z</a>").encode()
+    raw = zlib.compressobj(wbits=-15)
+    packed = {"": body, "gzip": gzip.compress(body[:99]) + gzip.compress(body[99:]), "deflate": zlib.compress(body), "raw": raw.compress(body) + raw.flush()}[coding]
+    sent = b"".join(b"%x;e=1\r\n%s\r\n" % (len(packed[i : i + 50]), packed[i : i + 50]) for i in range(0, len(packed), 50)) + b"0\r\n\r\n" if chunked else packed
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + "Transfer-Encoding: chunked\r\n" * chunked + f"Content-Encoding: {coding.replace('raw', 'deflate')}\r\n" * bool(coding) + "\r\n"
+    for state in (sent[: len(sent) - cut], body):  # cut off, or decoded by the collector and still declared
+        made = warc_derive.derive(warc_derive.Record([("WARC-Type", "response"), ("WARC-Payload-Digest", warc_derive.digest(packed))], head.encode() + state))
+        assert made[0].block.decode().startswith("One two\n0\n7919\n")
+        if not cut or state is body:
+            assert made[0].block.decode().endswith("z") and "outlink: /z" in made[1].block.decode()
+        if state is sent and not cut:
+            assert "digest-verified: yes" in made[1].block.decode()
+
+
 # --- near copies ----------------------------------------------------------------------
 
 

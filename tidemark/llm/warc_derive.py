@@ -19,6 +19,7 @@ import base64
 import hashlib
 import html
 import re
+import zlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -103,8 +104,64 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines)], payload
 
 
+def _unchunked(raw: bytes) -> bytes:
+    """The content of a chunked body, as far as it goes; a body that is not chunked as it is."""
+    out, at = [], 0
+    while True:
+        end = raw.find(b"\r\n", at)
+        size = raw[at : max(end, at)].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return b"".join(out) if out else raw
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(raw[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def _inflated(raw: bytes, coding: str) -> bytes:
+    """A gzip or deflate body unpacked, as far as it goes; other bytes as they are."""
+    for bits in (31,) if coding in ("gzip", "x-gzip") else (15, -15):
+        out, rest = [], raw
+        while rest:
+            packed = zlib.decompressobj(bits)
+            try:
+                for at in range(0, len(rest), 4096):
+                    out.append(packed.decompress(rest[at : at + 4096]))
+                    if packed.eof:
+                        break
+            except zlib.error:
+                break
+            rest = packed.unused_data + rest[at + 4096 :] if packed.eof else b""
+        if any(out):
+            return b"".join(out)
+        if not rest and raw:
+            return b""
+    return raw
+
+
+def content(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, bytes]:
+    """The payload without its transfer codings, and that without its content codings.
+
+    Bytes that are not in a stated coding, and codings other than chunked, gzip and deflate, stay.
+    """
+    stated = lambda name: [c.strip().lower() for k, v in headers if k.lower() == name for c in v.split(",")]
+    for coding in reversed(stated("transfer-encoding")):
+        payload = _unchunked(payload) if coding == "chunked" else _inflated(payload, coding) if coding in ("gzip", "x-gzip", "deflate") else payload
+    body = payload
+    for coding in reversed(stated("content-encoding")):
+        if coding not in ("gzip", "x-gzip", "deflate", "identity"):
+            break
+        body = _inflated(body, coding) if coding != "identity" else body
+    return payload, body
+
+
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HIDDEN = re.compile(r"<(script|style|head|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|noscript)\b[^>]*>.*?</\2\s*>", re.S | re.I)
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.I)
+_ELEMENT = re.compile(r"<(/?)([a-z][a-z0-9-]*)\b[^>]*>", re.I)
+_END_TITLE = re.compile(r"</title\s*>", re.I)
+_OF_HEAD = frozenset("html head title base basefont bgsound link meta noframes script style template noscript".split())
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|dl|dt|dd|form|hr|title)\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:[/a-zA-Z!?][^>]*)>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -119,9 +176,34 @@ def _plain(marked: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _shown(page: str) -> str:
+    """A page without comments, less scripts, styles and head. A head ends at its closing tag, or where a browser ends it: at
+    the first text or tag of the body. A template or noscript that stays open hides nothing."""
+    page = _HIDDEN.sub(" ", page)
+    head = _HEAD.search(page)
+    if head is None:
+        return page
+    at = head.end()
+    while tag := _ELEMENT.search(page, at):
+        closing, name = bool(tag[1]), tag[2].lower()
+        if page[at : tag.start()].strip():
+            break
+        if closing and name == "head":
+            at = tag.end()
+            break
+        if name in ("body", "html", "br") if closing else name not in _OF_HEAD:
+            at = tag.start()
+            break
+        at = tag.end()
+        if name == "title" and not closing:
+            end = _END_TITLE.search(page, at)
+            at = end.end() if end else len(page)
+    return f"{page[: head.start()]} {page[at:]}"
+
+
 def visible_text(page: str) -> str:
     """The text of a page: a line for each block, without scripts, styles, head and comments."""
-    shown = _HIDDEN.sub(" ", _COMMENT.sub("", page)).replace("\r", " ").replace("\n", " ")
+    shown = _shown(_COMMENT.sub("", page)).replace("\r", " ").replace("\n", " ")
     return _plain(_TAG.sub("", _BREAK.sub("\n", shown)))
 
 
@@ -132,13 +214,14 @@ def derive(source: Record) -> list[Record]:
     status, headers, payload = http_parts(source.block)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     charset = _CHARSET.search(kind)
+    entity, body = content(headers, payload)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     own, uri, date = source.get("WARC-Record-ID") or "", source.get("WARC-Target-URI") or "", source.get("WARC-Date") or ""
     block_digest, payload_digest = source.get("WARC-Block-Digest"), source.get("WARC-Payload-Digest")
-    good = block_digest in (None, digest(source.block)) and payload_digest in (None, digest(payload))
+    good = block_digest in (None, digest(source.block)) and payload_digest in (None, digest(payload), digest(entity))
     links = [("WARC-Refers-To", own), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
 
     def made(what: str, content_type: str, block: bytes, more: list[tuple[str, str]]) -> Record:
@@ -153,9 +236,9 @@ def derive(source: Record) -> list[Record]:
     notes += [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in headers)]
     notes += [("title", _plain(title[1].replace("\n", " ")))] if title else []
     notes += [("language", lang[1])] if lang else []
-    notes += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(_HIDDEN.sub(" ", clean))]
-    body = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in notes).encode()
-    return [conversion, made("metadata", "application/warc-fields", body, [("WARC-Concurrent-To", conversion.get("WARC-Record-ID") or "")])]
+    notes += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(_shown(clean))]
+    fields = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in notes).encode()
+    return [conversion, made("metadata", "application/warc-fields", fields, [("WARC-Concurrent-To", conversion.get("WARC-Record-ID") or "")])]
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
