@@ -8,6 +8,7 @@ import re
 import string
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -364,6 +365,36 @@ def test_random_strings_inside_ordinary_runs(spark):
     assert rows[len(made)] == f"markov:0:32,markov:{both - 32}:{both}" and {rows[i] for i in range(len(made) + 1, len(texts))} == {""}
 
 
+def test_all_frames_have_offsets_in_a_written_column(spark, tmp_path):
+    text = "abc déf " * 12_000
+    docs(spark, [text, None]).write.parquet(str(tmp_path / "documents.parquet"))
+    from tidemark.llm import queries, shared
+
+    before = set(Path(shared.shared_dir(spark).removeprefix("file://")).glob("tidemark/media-*"))
+    out = queries.op5_mpeg_audio(spark, str(tmp_path))
+    rows = {r["doc_id"]: r for r in out.collect()}
+    raw = mpeg_audio.write_mpeg(mpeg_audio.padded(text.encode()), len(text.encode()))
+    assert rows[0]["seek_offsets"] == mpeg_audio.read_mpeg(raw).frames and len(rows[0]["seek_offsets"]) == rows[0]["n_frames"] > 64
+    assert len(rows[1]["seek_offsets"]) == rows[1]["n_frames"] and ";unchecked=0;" in rows[0]["feature"]
+    new = set(Path(shared.shared_dir(spark).removeprefix("file://")).glob("tidemark/media-*")) - before
+    assert len(new) == 1 and {bytes(r["media"]) for r in spark.read.parquet(str(new.pop())).where("doc_id = 0").collect()} == {raw}
+
+
+@pytest.mark.parametrize("mode, allocated", [(0xC0, 16), (0x00, 32), (0x50, 20)])
+def test_protected_frames_of_layer_one_and_two(mode, allocated):
+    def frame(second, rate, good=True):
+        head = bytes([0xFF, second, rate << 4, mode])
+        body = bytearray(mpeg_audio.parse_header(head).size - 6)
+        crc = mpeg_audio.frame_checksum(head[2:] + bytes(body[:allocated]))
+        body[0] = 0 if good else 0x10
+        return head + crc.to_bytes(2, "big") + bytes(body)
+
+    one = mpeg_audio.read_mpeg(frame(0xFE, 8) + frame(0xFE, 8, False))
+    assert (len(one.frames), one.checked, one.bad_checksums, one.unchecked) == (2, 2, 1, 0)
+    two = mpeg_audio.read_mpeg(frame(0xFC, 8) * 2)
+    assert (len(two.frames), two.checked, two.bad_checksums, two.unchecked) == (2, 0, 0, 2)
+
+
 # --- web records ----------------------------------------------------------------------
 
 PAGE = '<html lang="fr"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x --><script>var t="</p>";</script><p>One<br>two &eacute;</p><a href="/x?a=1&amp;b=2">go</a></body></html>'

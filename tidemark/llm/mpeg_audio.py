@@ -6,7 +6,8 @@ frames have a variable bit rate: full frames of 320 kbit/s and a last frame of t
 that holds the rest.
 
 Reading makes no use of how a stream was written: tags are parsed, sync is searched for and
-accepted only where a second header or the end of the stream follows, checksums are verified, and
+accepted only where a second header or the end of the stream follows, checksums of layers I and III are
+verified and protected frames of layer II counted as unchecked, and
 the exact duration (in samples) and frame offsets are collected. After damage the search starts again
 at the next byte.
 """
@@ -80,7 +81,7 @@ def parse_header(raw: bytes) -> Header | None:
 
 @lru_cache(65536)
 def frame_checksum(raw: bytes) -> int:
-    """CRC-16 (polynomial 0x8005, start 0xFFFF) over the last two header bytes and the side information."""
+    """CRC-16 (polynomial 0x8005, start 0xFFFF) over the last two header bytes and the side information or allocation."""
     crc = 0xFFFF
     for byte in raw:
         crc ^= byte << 8
@@ -149,6 +150,7 @@ class Stream:
     toc: bytes = b""
     checked: int = 0
     bad_checksums: int = 0
+    unchecked: int = 0  # protected frames whose checksum is not verified
     skipped: int = 0  # bytes that belong to no tag and no frame
 
     @property
@@ -199,6 +201,12 @@ def _table(raw: bytes, at: int, head: Header, out: Stream) -> bool:
     return False
 
 
+def _allocation(mode: int) -> int:
+    """Bytes of bit allocation in a layer I frame: four bits for each band and channel, one for both from the joint bound on."""
+    kind = mode >> 6
+    return 16 if kind == 3 else 16 + 2 * ((mode >> 4 & 3) + 1) if kind == 1 else 32
+
+
 def read_mpeg(raw: bytes) -> Stream:
     """Tags, tables, frames and checksums of a stream; an empty or foreign one has no frames."""
     out = Stream()
@@ -225,9 +233,11 @@ def read_mpeg(raw: bytes) -> Stream:
             out.skipped += (end if nxt < 0 else nxt) - at
             at = end if nxt < 0 else nxt
             continue
-        if head.protected and head.layer == 3:
+        if head.protected and head.layer == 2:  # what its checksum covers depends on tables of bits by rate
+            out.unchecked += 1
+        elif head.protected:
             out.checked += 1
-            p = at + 6 + head.side
+            p = at + 6 + (head.side if head.layer == 3 else _allocation(raw[at + 3]))
             if frame_checksum(raw[at + 2 : at + 4] + raw[at + 6 : p]) != int.from_bytes(raw[at + 4 : at + 6], "big"):
                 out.bad_checksums += 1
         if not (first and head.layer == 3 and _table(raw, at, head, out)):
@@ -277,8 +287,8 @@ def from_media(media: DataFrame) -> DataFrame:
     """Facts of each ``media`` of ``to_media``, all taken from its bytes.
 
     ``samples`` over ``sample_rate`` is the exact duration. ``seek_offsets`` has the byte offset of
-    every 64th frame, the first included. ``feature`` sums the stream up: frames, samples, Hz, mean
-    bytes a frame, checksums verified and bad, bytes skipped, and a digest of all frame offsets.
+    every frame. ``feature`` sums the stream up: frames, samples, Hz, mean
+    bytes a frame, checksums verified and bad, those not verified, bytes skipped, and a digest of all frame offsets.
     A row without media gives nulls.
     """
 
@@ -289,7 +299,7 @@ def from_media(media: DataFrame) -> DataFrame:
         payload, stated = read_payload(raw, s)
         rate = s.headers[0].sample_rate if s.headers else 0
         places = hashlib.sha256(np.array(s.frames, "<u8").tobytes()).hexdigest()[:16]
-        feature = f"frames={len(s.frames)};samples={s.samples};hz={rate};table={s.table_frames},{s.table_bytes};crc={s.checked},{s.bad_checksums};skipped={s.skipped};offsets={places}"
+        feature = f"frames={len(s.frames)};samples={s.samples};hz={rate};table={s.table_frames},{s.table_bytes};crc={s.checked},{s.bad_checksums};unchecked={s.unchecked};skipped={s.skipped};offsets={places}"
         return [
             stated,
             len(payload),
@@ -301,7 +311,7 @@ def from_media(media: DataFrame) -> DataFrame:
             s.samples,
             rate,
             len(s.frames),
-            s.frames[::UNIT],
+            s.frames,
         ]
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]

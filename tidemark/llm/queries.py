@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, shingle_join, source_mix, token_files, toxicity, warc_derive
+from . import exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, shared, shingle_join, source_mix, token_files, toxicity, warc_derive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.from_media(mpeg_audio.to_media(_table(spark, sf_dir, "documents")))
+    media = shared.write_table(mpeg_audio.to_media(_table(spark, sf_dir, "documents")), "media")
+    return mpeg_audio.from_media(media)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
