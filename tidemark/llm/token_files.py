@@ -24,19 +24,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_table, written
+from .shared import drop_table, new_path, written
+from .word_pool import WordPool, binary, ragged, slices, utf8
 
 LONGEST = 18
 BLOCK_TOKENS = 1 << 17
 CHECKPOINT = 128
-REMEMBERED = 1_000_000  # pieces whose ids a worker keeps, about 200 bytes each
-LONGEST_KEPT = 64
-PUNCTUATION = ".,;:!?|&#$%*"
+PUNCTUATION = b".,;:!?&#$%*"  # no apostrophe, which may open a unit of letters, and nothing of a special token
 MAGIC = b"TMH1"
 _HEAD = struct.Struct("<4sIIIIQ")
+BLOCKS = "part int, start long, n_tokens long, block binary"
+HEAD = "lengths binary, vocabulary int, end_id int, checkpoint int"
 
 
 # --- the code ----------------------------------------------------------------------------
@@ -173,17 +174,15 @@ def read_block(code: Code, block: bytes) -> tuple[list[int | None], np.ndarray,
 
 
 class Encoder:
-    """Byte-level vocabulary through the tokenizers library, with remembered words.
+    """Byte-level vocabulary through the tokenizers library, with remembered pieces.
 
     The library's pattern starts a new unit at every space or line feed that is followed by a
-    visible character, so a text is cut there; it also starts one where letters are followed by
-    punctuation, so the punctuation that ends a piece is cut off. Each distinct rest is encoded
-    once and the ids are strung together. Other white space is no cut.
+    visible character, and where a letter or digit is followed by punctuation, so a text is cut there. Each distinct piece is encoded
+    once and the ids are strung together. Other white space is no cut, nor is a space before a character that might be white space.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -194,86 +193,67 @@ class Encoder:
         self.opens = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token[0] in "ĠĊ"  # a space and a line feed, as byte-level vocabularies write them
-        self.cut = re.compile(r"(?=[ \n][^\s])")
-        self.odd = re.compile(r"[ \n](?:\s|$)")
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The first piece, then the others without the space or with the line feed that opens them."""
-        if not self.odd.search(text):
-            return text.replace("\n", " \n").split(" ")
-        first, *rest = self.cut.split(text)
-        return [first, *(p[1:] if p[0] == " " else p for p in rest)]
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _tail(self, tail: str) -> bytes:
-        found = self.tails.get(tail)
-        if found is None:
-            found = self._ids(tail)
-            if len(self.tails) < 100_000 and len(tail) <= 8:
-                self.tails[tail] = found
-        return found
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pieces with what opens them; pieces without other white space go to the library together."""
-        plain = [w for w in words if w and not any(c in w[1:] for c in " \n")]
-        out: dict[str, bytes] = {}
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            text = "".join(w if w[0] == "\n" else " " + w for w in part)
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
-            start = np.flatnonzero(self.opens[ids])
-            if len(start) == len(part) and start[0] == 0:
-                raw, edge = ids.tobytes(), [*(start * self.kind.itemsize).tolist(), ids.nbytes]
-                out.update((w, raw[edge[i] : edge[i + 1]]) for i, w in enumerate(part))
-        out.update((w, self._ids(w if w[:1] == "\n" else " " + w)) for w in words if w not in out)
-        return out
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ``words``, none of which is remembered; remembers them and their parts."""
-        known, parts, asked = self.known, {}, {}
-        for w in words:
-            stem = w.rstrip(PUNCTUATION)
-            if len(stem) < len(w) and stem and stem[-1].isalpha():
-                parts[w] = stem
-                if stem not in known:
-                    asked[stem] = None
-            else:
-                asked[w] = None
-        fresh = self._encoded(list(asked))
-        for w, stem in parts.items():
-            ids = fresh.get(stem)
-            fresh[w] = (known[stem] if ids is None else ids) + self._tail(w[len(stem) :])
-        known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KEPT)
-        return fresh
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, without any special ids, as packed integers."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        heads, found, gaps, new = [], [], [], {}
-        for t in texts:
-            words = self.pieces(t)
-            heads.append(words[0])
-            ids = list(map(known.get, words))
-            ids[0] = b""
-            holes = [(i, words[i]) for i, x in enumerate(ids) if x is None]
-            new.update(dict.fromkeys(w for _, w in holes))
-            found.append(ids)
-            gaps.append(holes)
-        new = self._new(list(new))
-        out = []
-        first = self.library.encode_batch(heads, add_special_tokens=False)
-        for head, ids, holes in zip(first, found, gaps, strict=True):
-            for i, w in holes:
-                ids[i] = new[w]
-            ids[0] = np.array(head.ids, self.kind).tobytes()
-            out.append(b"".join(ids))
-        return out
+        self.visible = np.ones(256, bool)
+        self.visible[[*range(9, 14), *range(0x1C, 0x21)]] = False
+        self.word, self.punctuation = np.zeros(256, bool), np.zeros(256, bool)
+        self.word[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+        self.punctuation[list(PUNCTUATION)] = True
+        self.pool = WordPool(self.kind, self._new)
+
+    def cuts(self, raw: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at the start of each text, and where a space or line feed precedes a visible character."""
+        at = np.flatnonzero((raw == 32) | (raw == 10))
+        wide = np.append(raw, np.full(3, 32, np.uint8))
+        last = np.zeros(len(raw) + 1, bool)
+        last[edge] = True
+        at = at[self.visible[wide[at + 1]] & ~last[at + 1]]
+        a, b, c = wide[at + 1], wide[at + 2], wide[at + 3]  # white space beyond ASCII has two or three bytes
+        odd = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        odd |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        begins = np.zeros(len(raw), bool)
+        begins[at[~odd]] = True
+        begins[edge[:-1][edge[1:] > edge[:-1]]] = True
+        begins[1:] |= self.word[raw[:-1]] & self.punctuation[raw[1:]]
+        return np.flatnonzero(begins)
+
+    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces; those without other white space than what opens them go to the library together."""
+        raw, size = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+        start, white = np.cumsum(size) - size, (raw == 32) | (raw == 10)
+        plain = np.flatnonzero((np.add.reduceat(white, start, dtype=np.int64) == 1) & white[start] & (size > 1))
+        found, counts, order = [], [], []
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.library.encode(b"".join(map(pieces.__getitem__, part.tolist())).decode(), add_special_tokens=False).ids, self.kind)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(part) and first[0] == 0:
+                found.append(ids)
+                counts.append(np.diff(np.append(first, len(ids))))
+                order.append(part)
+        left = np.ones(len(pieces), bool)
+        left[np.concatenate([np.zeros(0, np.int64), *order])] = False
+        order.append(np.flatnonzero(left))
+        rest = [x.ids for x in self.library.encode_batch([pieces[i].decode() for i in order[-1].tolist()], add_special_tokens=False)]
+        found += [np.array(x, self.kind) for x in rest]
+        counts.append(np.array([len(x) for x in rest], np.int64))
+        ids, count, place = np.concatenate(found), np.concatenate(counts), np.argsort(np.concatenate(order))
+        return ids[ragged((np.cumsum(count) - count)[place], count[place])], count[place]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, without any special ids, and where each text's begin and the last's end.
+
+        One text of each call is encoded by the library as a whole as well; a difference raises.
+        """
+        raw, edge = utf8(column)
+        if not len(raw):
+            return np.zeros(0, self.kind), np.zeros(len(edge), np.int64)
+        start = self.cuts(raw, edge)
+        ids, count = self.pool.encode(raw, start)
+        upto = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, edge)]
+        row = int(np.flatnonzero(edge[1:] > edge[:-1])[0])
+        if ids[upto[row] : upto[row + 1]].tolist() != self.library.encode(raw[edge[row] : edge[row + 1]].tobytes().decode(), add_special_tokens=False).ids:
+            raise RuntimeError("the library encodes a text otherwise than its pieces")
+        return ids, upto
 
 
 @lru_cache(2)
@@ -286,12 +266,10 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.kind).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = enc.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i + end for i in ids], pa.binary())], names=["doc_id", "ids"])
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            ids, edge = enc.encode(part.column(1))
+            packed = binary(np.insert(ids, edge[1:], end_id), edge + np.arange(len(edge)))
+            yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(work, "doc_id long, ids binary")
@@ -302,11 +280,8 @@ def id_counts(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size) if len(x.as_buffer()) > 2 * size else 0
-            small = b"".join(x.as_py() for x in batch.column(0) if len(x.as_buffer()) <= 2 * size)
-            total += np.bincount(np.frombuffer(small, kind), minlength=size)
+        for part in (part for batch in batches for part in slices(batch, 0)):
+            total += np.bincount(utf8(part.column(0))[0].view(kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -322,11 +297,18 @@ def id_counts(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
 
 @dataclass
 class TokenFiles:
-    """A written set of blocks with the code lengths that read them."""
+    """A written set of blocks; all that a reader needs lies under ``path``.
+
+    ``blocks`` there is a table of blocks, ``code`` a table of one row: the code length of each id as one byte, the
+    size of the vocabulary, the end id and the number of ids between checkpoints.
+    """
 
-    blocks: DataFrame
+    spark: SparkSession
     path: str
-    lengths: bytes
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(BLOCKS).parquet(self.path + "/blocks")
 
     def read(self, fields: str, each: Callable[[list, np.ndarray, np.ndarray, int], list[pa.Array]]) -> DataFrame:
         """Decodes every block and gives ``each`` its document ids, their lengths, the ids and the start."""
@@ -334,7 +316,10 @@ class TokenFiles:
         offsets, at = {}, 0
         for r in sorted(sums, key=lambda r: r["part"]):
             offsets[r["part"]], at = at, at + r["n"]
-        lengths = self.lengths
+        head = self.spark.read.schema(HEAD).parquet(self.path + "/code").first()
+        if head["checkpoint"] != CHECKPOINT or head["vocabulary"] != len(head["lengths"]):
+            raise ValueError("token files of another make")
+        lengths = bytes(head["lengths"])
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code = Code.of(np.frombuffer(lengths, np.uint8))
@@ -348,8 +333,14 @@ class TokenFiles:
         return self.blocks.select("part", "start", "block").mapInArrow(work, fields)
 
 
-def write_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
-    """Encodes ``docs`` and writes them as blocks in ascending doc_id order (null ids first).
+def open_files(spark: SparkSession, path: str) -> TokenFiles:
+    """Token files that were written before, by this session or another."""
+    return TokenFiles(spark, path)
+
+
+def write_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", to: str | None = None) -> TokenFiles:
+    """Encodes ``docs`` and writes them under ``to`` (a new folder in the shared one if not given) as blocks in
+    ascending doc_id order (null ids first).
 
     Null and empty texts consist of the end id alone. Rows that repeat an id stay, next to
     each other. An empty table gives no blocks. Other columns are not read.
@@ -395,9 +386,12 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartitionByRange(n, F.col("doc_id").asc()).sortWithinPartitions("doc_id")
     numbered = dealt.select("doc_id", "ids", F.spark_partition_id().alias("part"))
-    blocks, at = written(numbered.mapInArrow(work, "part int, start long, n_tokens long, block binary"), "token-blocks", "uncompressed")
+    at = to or new_path(spark, "token-files")
+    head = spark.createDataFrame([(bytearray(lengths), size, end_id, CHECKPOINT)], HEAD)
+    head.coalesce(1).write.parquet(at + "/code")
+    numbered.mapInArrow(work, BLOCKS).write.option("compression", "uncompressed").parquet(at + "/blocks")
     drop_table(spark, kept)
-    return TokenFiles(blocks, at, lengths)
+    return TokenFiles(spark, at)
 
 
 def document_digests(files: TokenFiles) -> DataFrame:
