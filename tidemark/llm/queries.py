@@ -33,8 +33,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
-    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), outputs=False)
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
