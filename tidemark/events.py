@@ -15,6 +15,8 @@ from .operators.bars import bars
 
 HOUR_MS, MINUTE_MS = 3_600_000, 60_000
 GRID = Grid(HOUR_MS, 4 * HOUR_MS, 5)
+MINUTE_LINES = 86_400_000_000 * 128  # line numbers of a day of minute klines, and of hour klines
+HOUR_LINES = 86_400_000_000 * 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

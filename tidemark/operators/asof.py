@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import array_std, change
 from ..functions.time import epoch_ms
+from .ordered import running_max
 
 NO_BAR = "missing_latest_kline"
 
@@ -47,11 +48,14 @@ def reason(decision="decision_ms"):
     )
 
 
-def latest_eligible(starts: DataFrame, decisions: DataFrame) -> DataFrame:
+DAY_MS = 86_400_000
+
+
+def latest_eligible(starts: DataFrame, decisions: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
     """``decisions`` (series, decision_ms) with the latest usable observation in ``latest``, and ``latest_flag`` without one.
 
     Both sides are sorted together by the time from which an observation counts, and a running maximum picks the
-    latest start: one sort for each series, no range join. Without any, the flag is the reason of the series'
+    latest start: one sort for each block of time of a series, no range join. Without any, the flag is the reason of the series'
     first start, if that lies before the decision.
     """
     value = F.struct("start_ms", "end_ms", "close", "available_at")
@@ -59,8 +63,8 @@ def latest_eligible(starts: DataFrame, decisions: DataFrame) -> DataFrame:
     usable = starts.where("copies = 1").select("series", from_.alias("at"), F.lit(0).alias("tag"), value.alias("o"))
     asked = decisions.select("series", F.col("decision_ms").alias("at"), F.lit(1).alias("tag"))
     both = usable.unionByName(asked, allowMissingColumns=True)
-    upto = Window.partitionBy("series").orderBy("at", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("latest", F.max("o").over(upto)).where("tag = 1").select("series", F.col("at").alias("decision_ms"), "latest")
+    found = running_max(both, ["series"], ["at", "tag"], "o", "latest", block_ms, own=True)
+    found = found.where("tag = 1").select("series", F.col("at").alias("decision_ms"), "latest")
     first = starts.groupBy("series").agg(F.min(F.struct("start_ms", "copies", "end_ms", "available_at")).alias("f"))
     first = first.select("series", F.col("f.start_ms").alias("first_ms"), "f.copies", "f.end_ms", "f.available_at")
     flag = F.when(F.col("first_ms") < F.col("decision_ms"), F.coalesce(reason(), F.lit(NO_BAR))).otherwise(NO_BAR)

@@ -1,7 +1,7 @@
 """Coverage of captured klines, in arrival order: counts, duplicates, gaps, inspection and snapshots.
 
-Line numbers give the order of arrival inside one archive, so windows are partitioned by archive
-(``series``); an archive is what one collector wrote in a day.
+Line numbers give the order of arrival inside one archive (``series``). What a line needs from earlier ones is found
+by blocks of lines (``ordered``), ``lines`` being the numbers in a block, so a long archive is no single task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import array_std, change
 from ..functions.time import epoch_ms
 from .asof import Grid
+from .ordered import LINES, last_rows, previous, running_max
 
 MISSING = "<missing>"
 
@@ -50,22 +51,22 @@ def first_arrivals(klines: DataFrame) -> DataFrame:
     return klines.withColumn("repeats", rank > 1)
 
 
-def arrival_gaps(klines: DataFrame, step_ms: int = 1000) -> DataFrame:
+def arrival_gaps(klines: DataFrame, step_ms: int = 1000, lines: int = LINES) -> DataFrame:
     """First arrivals with the distance to the greatest start before them; negative ones went backward."""
     first = first_arrivals(klines).where("NOT repeats")
-    before = Window.partitionBy("series").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    x = first.withColumn("delta_ms", F.col("start_ms") - F.max("start_ms").over(before))
+    x = running_max(first, ["series"], ["line_no"], "start_ms", "before", lines, own=False)
+    x = x.withColumn("delta_ms", F.col("start_ms") - F.col("before")).drop("before")
     return x.withColumns({"gap": F.coalesce(F.col("delta_ms") > step_ms, F.lit(False)), "backward": F.coalesce(F.col("delta_ms") < 0, F.lit(False))})
 
 
-def coverage(klines: DataFrame, start_ms: int, stop_ms: int, step_ms: int = 1000, archives: DataFrame | None = None) -> DataFrame:
+def coverage(klines: DataFrame, start_ms: int, stop_ms: int, step_ms: int = 1000, archives: DataFrame | None = None, lines: int = LINES) -> DataFrame:
     """Per archive: closed klines in the interval, distinct and missing starts, duplicates, gaps.
 
     Every series of ``archives``, or else of ``klines``, has a row; without klines in the interval all its starts are missing.
     """
     inside = klines.where((F.col("start_ms") >= start_ms) & (F.col("start_ms") < stop_ms))
     n = inside.groupBy("series").agg(F.count(F.lit(1)).alias("in_window"), F.count_distinct("start_ms").alias("distinct_starts"))
-    gaps = arrival_gaps(inside, step_ms).groupBy("series").agg(
+    gaps = arrival_gaps(inside, step_ms, lines).groupBy("series").agg(
         F.count_if("gap").alias("gap_events"),
         F.count_if("backward").alias("backward_starts"),
         F.coalesce(F.max(F.when(F.col("gap"), F.col("delta_ms") - step_ms)), F.lit(0)).alias("largest_gap_ms"),
@@ -85,10 +86,10 @@ def coverage_totals(days: DataFrame) -> DataFrame:
     )
 
 
-def consecutive_returns(klines: DataFrame, step_ms: int = 1000) -> DataFrame:
+def consecutive_returns(klines: DataFrame, step_ms: int = 1000, lines: int = LINES) -> DataFrame:
     """Every closed kline with the return over the one that arrived before it, valid only if that is one step earlier."""
-    w = Window.partitionBy("series").orderBy("line_no")
-    x = klines.withColumns({"previous_start": F.lag("start_ms").over(w), "previous_close": F.lag("close").over(w)})
+    x = previous(klines, ["series"], "line_no", ["start_ms", "close"], "before", lines)
+    x = x.withColumns({"previous_start": F.col("before.start_ms"), "previous_close": F.col("before.close")})
     follows = F.coalesce(F.col("start_ms") == F.col("previous_start") + step_ms, F.lit(False))
     flag = (
         F.when(F.col("previous_start").isNull(), "no_previous_kline")
@@ -109,24 +110,24 @@ def consecutive_returns(klines: DataFrame, step_ms: int = 1000) -> DataFrame:
     )
 
 
-def inspect(klines: DataFrame, limit: int, step_ms: int = 1000, model_only: bool = False) -> DataFrame:
-    """The first rows in order of arrival. The limit is the feature here."""
-    rows = consecutive_returns(klines, step_ms)
+def inspect(klines: DataFrame, limit: int, step_ms: int = 1000, model_only: bool = False, lines: int = LINES) -> DataFrame:
+    """The first rows in order of arrival, the first ``limit`` of each task being merged. The limit is the feature here."""
+    rows = consecutive_returns(klines, step_ms, lines)
     return (rows.where("consecutive") if model_only else rows).orderBy("series", "line_no").limit(limit)
 
 
-def snapshot(klines: DataFrame, cutoff_ms: int, grid: Grid = Grid()) -> DataFrame:
+def snapshot(klines: DataFrame, cutoff_ms: int, grid: Grid = Grid(), lines: int = LINES) -> DataFrame:
     """One row per archive: the last usable kline to arrive, and returns over the usable ones before it."""
     step, most = grid.step_ms, grid.lookback + 1
-    arrived = Window.partitionBy("series").orderBy("line_no")
     x = klines.where(F.col("start_ms") <= cutoff_ms)
     ok = (F.col("end_ms") <= cutoff_ms) & (epoch_ms(F.col("available_at")) <= cutoff_ms)
-    x = x.withColumns({"ok": ok, "closed_before": F.max("start_ms").over(arrived.rowsBetween(Window.unboundedPreceding, -1))})
-    x = x.where("ok").withColumns({"p_start": F.lag("start_ms").over(arrived), "p_close": F.lag("close").over(arrived)})
+    x = running_max(x.withColumn("ok", ok), ["series"], ["line_no"], "start_ms", "closed_before", lines, own=False).where("ok")
+    x = last_rows(x, ["series"], "line_no", most + 1, "back", lines)  # the last that count, and the one before them
+    before = F.lag(F.struct("start_ms", "close")).over(Window.partitionBy("series").orderBy("line_no"))
+    x = x.withColumn("p", before).withColumns({"p_start": F.col("p.start_ms"), "p_close": F.col("p.close")})
     follows = (F.col("start_ms") == F.col("p_start") + step) & (F.col("closed_before") == F.col("start_ms") - step)
     x = x.withColumn("follows", F.coalesce(follows, F.lit(False)))
-    back = F.row_number().over(Window.partitionBy("series").orderBy(F.col("line_no").desc()))
-    x = x.withColumn("back", back).where(F.col("back") <= most)
+    x = x.where(F.col("back") <= most)
     last = F.struct("line_no", "start_ms", "end_ms", "close", "available_at", "p_start", "p_close", "follows")
     x = x.groupBy("series").agg(F.max(last).alias("l"), F.sort_array(F.collect_list(F.struct("line_no", "start_ms", "close"))).alias("h"))
     closes, starts = F.col("h.close"), F.col("h.start_ms")

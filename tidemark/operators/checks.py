@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import LINES, previous
+
 
 class ConstraintError(ValueError):
     """A table breaks a rule; the message has the first few rows that do."""
@@ -29,14 +31,14 @@ def finite(rows: DataFrame, columns: list[str], what: str = "rows") -> DataFrame
     return rows
 
 
-def disorder(rows: DataFrame, order: str, key: str, part: list[str]) -> DataFrame:
+def disorder(rows: DataFrame, order: str, key: str, part: list[str], width: int = LINES) -> DataFrame:
     """Rows whose key does not exceed that of the row before, in the order of ``order`` within a part."""
-    before = F.lag(key).over(Window.partitionBy(part).orderBy(order))
-    return rows.withColumn("before", before).where(F.col(key) <= F.col("before"))
+    x = previous(rows, part, order, [key], "before", width)
+    return x.withColumn("before", F.col("before")[key]).where(F.col(key) <= F.col("before"))
 
 
-def ordered(rows: DataFrame, order: str, key: str, part: list[str], what: str = "rows") -> DataFrame:
-    _none(disorder(rows, order, key, part), f"{what}: {key} does not ascend")
+def ordered(rows: DataFrame, order: str, key: str, part: list[str], what: str = "rows", width: int = LINES) -> DataFrame:
+    _none(disorder(rows, order, key, part, width), f"{what}: {key} does not ascend")
     return rows
 
 

@@ -69,8 +69,12 @@ def join_counters(audit: DataFrame) -> DataFrame:
     )
 
 
+def two_way_anti(left: DataFrame, right: DataFrame, sides: tuple[str, str], key: list[str] = KEY) -> DataFrame:
+    """Keys that one of two tables lacks, with the side that has them."""
+    a, b = left.select(*key), right.select(*key)
+    return a.join(b, key, "left_anti").withColumn("side", F.lit(sides[0])).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit(sides[1])))
+
+
 def key_differences(audit: DataFrame, model: DataFrame) -> DataFrame:
     """Eligible windows that the model view lacks, and windows that only the model view has."""
-    eligible = audit.where("eligible").select(KEY)
-    lacking = eligible.join(model, KEY, "left_anti").withColumn("side", F.lit("audit_only"))
-    return lacking.unionByName(model.select(KEY).join(eligible, KEY, "left_anti").withColumn("side", F.lit("model_only")))
+    return two_way_anti(audit.where("eligible"), model, ("audit_only", "model_only"))

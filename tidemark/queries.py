@@ -87,7 +87,7 @@ AUDIT = f"""{VIEW}, {TARGET}, audit AS (SELECT coalesce(f.series, t.series) AS s
     return_short, return_long, volatility, t.label, t.label_source, t.label_definition, feature_flag, target_flag, short_flag, long_flag, volatility_flag,
     CASE WHEN f.series IS NULL THEN 'missing_feature_row' WHEN t.series IS NULL THEN 'missing_target_row' WHEN usable AND target_valid THEN 'eligible'
       WHEN NOT usable AND NOT target_valid THEN 'invalid_feature_and_target' WHEN NOT usable THEN 'invalid_feature' ELSE 'invalid_target' END AS eligibility_reason
-  FROM (SELECT * FROM features WHERE window_ms // 14400000 % 11 != 3) f FULL JOIN (SELECT * FROM targets WHERE window_ms // 14400000 % 13 != 5) t ON f.series = t.series AND f.window_ms = t.window_ms)"""
+  FROM features f FULL JOIN targets t ON f.series = t.series AND f.window_ms = t.window_ms)"""
 SCORE = "s AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS y, CAST(json_extract_string(props, '$.k') AS BIGINT) / 100.0::DOUBLE AS p FROM events)"
 
 
@@ -225,12 +225,12 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GAPS} SELECT series, line_no, start_ms, delta_ms, coalesce(delta_ms > 60000, false) AS gap, coalesce(delta_ms < 0, false) AS backward FROM g")
 def arrival_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = ev.minute_klines(spark, sf_dir).where((F.col("start_ms") >= DAY0) & (F.col("start_ms") < DAYS30))
-    return audit.arrival_gaps(x, ev.MINUTE_MS).select("series", "line_no", "start_ms", "delta_ms", "gap", "backward")
+    return audit.arrival_gaps(x, ev.MINUTE_MS, ev.MINUTE_LINES).select("series", "line_no", "start_ms", "delta_ms", "gap", "backward")
 
 
 @query(f"WITH {COVER} SELECT * FROM cover")
 def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.coverage(ev.minute_klines(spark, sf_dir), DAY0, DAYS30, ev.MINUTE_MS)
+    return audit.coverage(ev.minute_klines(spark, sf_dir), DAY0, DAYS30, ev.MINUTE_MS, lines=ev.MINUTE_LINES)
 
 
 @query(
@@ -238,7 +238,7 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(sum(missing_starts) AS BIGINT) AS missing_starts, CAST(sum(gap_events) AS BIGINT) AS gap_events, CAST(sum(backward_starts) AS BIGINT) AS backward_starts, max(largest_gap_ms) AS largest_gap_ms FROM cover"""
 )
 def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.coverage_totals(audit.coverage(ev.minute_klines(spark, sf_dir), DAY0, DAYS30, ev.MINUTE_MS))
+    return audit.coverage_totals(audit.coverage(ev.minute_klines(spark, sf_dir), DAY0, DAYS30, ev.MINUTE_MS, lines=ev.MINUTE_LINES))
 
 
 @query(f"WITH {M} SELECT series, start_ms, count(*) AS copies FROM m GROUP BY ALL HAVING count(*) > 1")
@@ -251,7 +251,7 @@ def dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT series, line_no, start_ms, before FROM x WHERE start_ms <= before"""
 )
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.disorder(ev.minute_klines(spark, sf_dir), "line_no", "start_ms", ["series"]).select("series", "line_no", "start_ms", "before")
+    return checks.disorder(ev.minute_klines(spark, sf_dir), "line_no", "start_ms", ["series"], ev.MINUTE_LINES).select("series", "line_no", "start_ms", "before")
 
 
 CONSECUTIVE = f"""{M}, x AS (SELECT *, lag(start_ms) OVER w AS ps, lag(close) OVER w AS previous_close FROM m WINDOW w AS (PARTITION BY series ORDER BY line_no)),
@@ -261,12 +261,12 @@ r AS (SELECT series, line_no, start_ms, end_ms, close, previous_close, round(CAS
 
 @query(f"WITH {CONSECUTIVE} SELECT * FROM r")
 def consecutive_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(micros(audit.consecutive_returns(ev.minute_klines(spark, sf_dir), ev.MINUTE_MS), "available_at"))
+    return rounded(micros(audit.consecutive_returns(ev.minute_klines(spark, sf_dir), ev.MINUTE_MS, ev.MINUTE_LINES), "available_at"))
 
 
 @query(f"WITH {CONSECUTIVE} SELECT * FROM r WHERE consecutive ORDER BY series, line_no LIMIT 25")
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(micros(audit.inspect(ev.minute_klines(spark, sf_dir), 25, ev.MINUTE_MS, model_only=True), "available_at"))
+    return rounded(micros(audit.inspect(ev.minute_klines(spark, sf_dir), 25, ev.MINUTE_MS, model_only=True, lines=ev.MINUTE_LINES), "available_at"))
 
 
 CUTOFF = DAY0 + 15 * 86_400_000
@@ -293,7 +293,7 @@ def cutoff_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM o JOIN a USING (series) WHERE back = 1"""
 )
 def decision_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(audit.snapshot(ev.hour_klines(spark, sf_dir), CUTOFF, ev.GRID))
+    return rounded(audit.snapshot(ev.hour_klines(spark, sf_dir), CUTOFF, ev.GRID, ev.HOUR_LINES))
 
 
 # --- what was known ----------------------------------------------------------------------
@@ -405,12 +405,28 @@ def join_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.join_counters(_audit(spark, sf_dir))
 
 
-@query(f"WITH {AUDIT} SELECT series, window_ms, 'audit_only' AS side FROM audit WHERE eligibility_reason = 'eligible' AND window_ms // 14400000 % 7 = 2")
+MODEL_KEYS = "SELECT series, window_ms FROM audit WHERE feature_ok AND target_ok"
+
+
+@query(
+    f"""WITH {AUDIT}, ok AS (SELECT series, window_ms FROM audit WHERE eligibility_reason = 'eligible'), model AS ({MODEL_KEYS})
+    SELECT *, 'audit_only' AS side FROM (SELECT * FROM ok EXCEPT SELECT * FROM model) UNION ALL SELECT *, 'model_only' AS side FROM (SELECT * FROM model EXCEPT SELECT * FROM ok)"""
+)
 def eligibility_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible windows that the model view lacks, or that only it has: none, on sound tables."""
     a = _audit(spark, sf_dir)
     return views.key_differences(a, views.model_view(a))
 
 
+@query(
+    f"""WITH {VIEW}, {TARGET}, fk AS (SELECT series, window_ms FROM features WHERE usable), tk AS (SELECT series, window_ms FROM targets WHERE target_valid)
+    SELECT *, 'features_only' AS side FROM (SELECT * FROM fk EXCEPT SELECT * FROM tk) UNION ALL SELECT *, 'targets_only' AS side FROM (SELECT * FROM tk EXCEPT SELECT * FROM fk)"""
+)
+def usable_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that can be used on one side only."""
+    return views.two_way_anti(_features(spark, sf_dir).where("usable"), _targets(spark, sf_dir).where("target_valid"), ("features_only", "targets_only"))
+
+
 @query(f"WITH {VIEW} SELECT field, flag, count(*) AS rows FROM (SELECT unnest(['short_flag', 'long_flag', 'volatility_flag']) AS field, unnest([short_flag, long_flag, volatility_flag]) AS flag FROM features) GROUP BY ALL")
 def flag_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.flag_counts(_features(spark, sf_dir), FLAGS)
