@@ -16,22 +16,20 @@ that a table lacks escape to the next.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
 SAMPLE_DOCS = 400  # labelled texts of each language, at most
-SAMPLE_BYTES = 1_000_000  # and bytes of each language; a text is taken whole or not at all
+SAMPLE_BYTES = 1_000_000  # and bytes of each language; texts are taken whole, in order, up to the first that goes beyond
 WINDOW = 1 << 20  # positions that are looked up at once
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PAD = b"\n" * ORDER
 
@@ -170,7 +168,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and its share of the probability, or ``und`` and 0 without letters or training."""
-        asked = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if asked:
             bits = self.code_lengths([texts[i].encode() for i in asked])
@@ -190,7 +188,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     """Whole texts of each language, in order of a hash of their ids, up to the two bounds.
 
     Counts by language say what part of the hash range holds somewhat more than ``SAMPLE_DOCS``
-    rows, so the sample is read by a filter and not by a sort. Rows with null id, text or language are left out.
+    rows, so the sample is read by a filter; both bounds are applied before anything comes to the driver. A first text that alone is
+    over the bound of bytes is taken. Rows with null id, text or language are left out. The model grows with the number of languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("id")))
@@ -200,15 +199,13 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     part = {lang: min(1.0, (SAMPLE_DOCS + 4 * SAMPLE_DOCS**0.5) / n) for lang, n in counts.items()}
     place = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).alias("place")
     within = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])[F.col("lang")]
-    found = rows.select("lang", place, "id", "text").where(F.col("place") < within).collect()
+    order = Window.partitionBy("lang").orderBy("place", "id", "text")  # some hundred rows of each language
+    found = rows.select("lang", place, "id", "text").where(F.col("place") < within)
+    found = found.select("lang", "text", F.row_number().over(order).alias("n"), F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
+    found = found.where((F.col("n") == 1) | (F.col("n") <= SAMPLE_DOCS) & (F.col("upto") <= SAMPLE_BYTES)).orderBy("lang", "n")
     out: dict[str, list[bytes]] = {}
-    held: dict[str, int] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["place"], r["id"], r["text"])):
-        text = r["text"].encode()
-        mine = out.setdefault(r["lang"], [])
-        if len(mine) < SAMPLE_DOCS and (not mine or held[r["lang"]] + len(text) <= SAMPLE_BYTES):
-            mine.append(text)
-            held[r["lang"]] = held.get(r["lang"], 0) + len(text)
+    for r in found.collect():
+        out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
 
