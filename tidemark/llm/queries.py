@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, shared, shingle_join, source_mix, token_files, toxicity, warc_derive
 
@@ -44,7 +43,7 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = source_mix.quality_weights(_table(spark, sf_dir, "labels"))
     mixed = source_mix.mix(_table(spark, sf_dir, "documents"), weights)
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,32 +107,36 @@ def mix(
 
 
 def repeat_by_mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its size goes into what is taken of it.
+    """``docs`` as the mix takes them, with all their columns, whatever these are called: each row as often as its
+    size goes into what is taken of it.
 
     The one document of each source that is taken in part counts if at least half of it is. Rows
     with the same id and size get the same number of copies only if the mix takes as much of each, so
-    they are told apart by their rank among their likes.
+    they are told apart by their rank among their likes. A null id is an id like any other; null and empty texts are taken never.
+    An empty table gives no rows.
     """
-    like = Window.partitionBy("_id", "_source", "_size").orderBy(F.col("_order").desc())
+    like = Window.partitionBy("id", "source", "size").orderBy(F.col("taken").desc())
     copies = mix(docs, weights).where("taken > 0").select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_source"),
-        F.col("size").alias("_size"),
-        F.col("taken").alias("_order"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"),
+        F.col("doc_id").alias("id"), "source", "size", "taken", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")
     )
-    copies = copies.withColumn("_rank", F.row_number().over(like)).where("_copies > 0").drop("_order")
-    twins = Window.partitionBy("_did", "_dsource", "_dsize").orderBy(F.xxhash64("text"))
-    keyed = docs.withColumns({"_did": F.col("doc_id"), "_dsource": F.col("source").cast("string"), "_dsize": word_count(F.col("text"))})
-    keyed = keyed.withColumn("_drank", F.row_number().over(twins))
+    copies = copies.withColumn("place", F.row_number().over(like)).where("copies > 0").drop("taken")
+    twins = Window.partitionBy("own_id", "own_source", "own_size").orderBy("own_mark")
+    keyed = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").alias("own_id"),
+        F.col("source").cast("string").alias("own_source"),
+        word_count(F.col("text")).alias("own_size"),
+        F.xxhash64("text").alias("own_mark"),
+    )
+    keyed = keyed.withColumn("own_place", F.row_number().over(twins))
     same = (
-        F.col("_did").eqNullSafe(F.col("_id"))
-        & F.col("_dsource").eqNullSafe(F.col("_source"))
-        & (F.col("_dsize") == F.col("_size"))
-        & (F.col("_drank") == F.col("_rank"))
+        F.col("own_id").eqNullSafe(F.col("id"))
+        & F.col("own_source").eqNullSafe(F.col("source"))
+        & (F.col("own_size") == F.col("size"))
+        & (F.col("own_place") == F.col("place"))
     )
-    taken = keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*[F.col(c) for c in docs.columns])
+    taken = keyed.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select("row.*")
 
 
 ORACLE = r"""
@@ -169,7 +173,7 @@ o AS (
          CAST(round(b.target) AS BIGINT) - b.passes * b.source_size AS rest,
          sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS first
   FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
+SELECT doc_id, size, source_size, target,
        CAST(passes * size + greatest(0, least(size, rest - first)) AS BIGINT) AS taken
 FROM o
 """
