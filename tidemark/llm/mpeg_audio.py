@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .word_pool import slices
+
 UNIT = 64
 KEY = b"payload_bytes"
 
@@ -130,7 +132,7 @@ def write_mpeg(payload: bytes, stated: int) -> bytes:
     offsets = np.concatenate([[0], np.cumsum([size, *sizes])])[:-1]
     toc = bytes(int(offsets[len(offsets) * i // 100] * 256 // total) for i in range(100))
     table = b"Xing" + struct.pack(">III", 7, len(sizes), total) + toc
-    text = b"\0" + KEY + b"\0" + f"{stated} {len(payload)}".encode()
+    text = b"\0" + KEY + b"\0" + f"{stated} {len(payload)} {hashlib.sha256(payload).hexdigest()}".encode()
     tag = b"TXXX" + struct.pack(">IH", len(text), 0) + text
     return b"ID3\x03\0\0" + _syncsafe(len(tag)) + tag + (lead + table).ljust(size, b"\0") + b"".join(parts)
 
@@ -147,7 +149,11 @@ class Stream:
     tags: dict[str, str] = field(default_factory=dict)
     table_frames: int | None = None  # as the Xing or VBRI table states
     table_bytes: int | None = None
-    toc: bytes = b""
+    toc: bytes = b""  # of a Xing table: a part of the bytes in 256ths for each hundredth of the time
+    seek: list[int] = field(default_factory=list)  # of a VBRI table: bytes of each run of frames
+    seek_frames: int = 0  # frames of such a run
+    delay: int = 0  # samples that an encoder put before and after the sound, as its tag states
+    padding: int = 0
     checked: int = 0
     bad_checksums: int = 0
     unchecked: int = 0  # protected frames whose checksum is not verified
@@ -157,28 +163,56 @@ class Stream:
     def samples(self) -> int:
         return sum(h.samples for h in self.headers)
 
+    @property
+    def sound(self) -> int:
+        """Samples without what the encoder put around them."""
+        return max(0, self.samples - self.delay - self.padding)
+
+    @property
+    def table_agrees(self) -> bool | None:
+        """Whether the table counts the frames that are there; none if there is no such count."""
+        return None if self.table_frames is None else self.table_frames == len(self.frames)
+
+
+def _number(raw: bytes, bits: int) -> int:
+    """A big-endian number of which each byte counts that many bits."""
+    out = 0
+    for b in raw:
+        out = out << bits | b & (1 << bits) - 1
+    return out
+
 
 def _id3v2(raw: bytes, at: int, found: dict[str, str]) -> int:
-    """Reads a tag at ``at`` into ``found`` and returns where it ends; ``at`` if there is none."""
+    """Reads a tag at ``at`` into ``found`` and returns where it ends; ``at`` if there is none.
+
+    Unsynchronisation is undone (of the whole tag, or of frames in version 4), an extended header is passed over.
+    """
     if raw[at : at + 3] != b"ID3" or len(raw) < at + 10 or any(b > 127 for b in raw[at + 6 : at + 10]):
         return at
-    size = 0
-    for b in raw[at + 6 : at + 10]:
-        size = size << 7 | b
-    end, p, major = at + 10 + size, at + 10, raw[at + 3]
-    while p + 10 <= min(end, len(raw)) and raw[p : p + 4].isalnum() and major >= 3:
-        quad = raw[p + 4 : p + 8]
-        length = int.from_bytes(quad, "big") if major == 3 else sum((b & 127) << 7 * (3 - i) for i, b in enumerate(quad))
-        body = raw[p + 10 : p + 10 + length]
-        if raw[p : p + 1] == b"T" and body:
+    major, flags, size = raw[at + 3], raw[at + 5], _number(raw[at + 6 : at + 10], 7)
+    end = at + 10 + size
+    tag = raw[at + 10 : end]
+    if flags & 0x80 and major < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    p = 0
+    if flags & 0x40 and major >= 3:
+        p = 4 + _number(tag[:4], 8) if major == 3 else _number(tag[:4], 7)
+    while major >= 3 and p + 10 <= len(tag) and tag[p : p + 4].isalnum():
+        length = _number(tag[p + 4 : p + 8], 8 if major == 3 else 7)
+        body = tag[p + 10 : p + 10 + length]
+        if major == 4 and tag[p + 9] & 1:  # led by the length of the data
+            body = body[4:]
+        if major == 4 and (tag[p + 9] & 2 or flags & 0x80):
+            body = body.replace(b"\xff\0", b"\xff")
+        if tag[p : p + 1] == b"T" and body:
             coding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
             text = body[1:].decode(coding, "replace").rstrip("\0")
-            name = raw[p : p + 4].decode("latin-1")
+            name = tag[p : p + 4].decode("latin-1")
             if name == "TXXX" and "\0" in text:
                 name, text = text.split("\0", 1)
             found[name] = text
         p += 10 + length
-    return min(end + (10 if raw[at + 5] & 0x10 else 0), len(raw))
+    return min(end + (10 if flags & 0x10 else 0), len(raw))
 
 
 def _table(raw: bytes, at: int, head: Header, out: Stream) -> bool:
@@ -192,11 +226,17 @@ def _table(raw: bytes, at: int, head: Header, out: Stream) -> bool:
         if flags & 2:
             out.table_bytes, p = int.from_bytes(raw[p : p + 4], "big"), p + 4
         if flags & 4:
-            out.toc = raw[p : p + 100]
+            out.toc, p = raw[p : p + 100], p + 100
+        p += 4 if flags & 8 else 0
+        if raw[p : p + 4] in (b"LAME", b"Lavc", b"Lavf") and p + 24 <= at + head.size:
+            gap = int.from_bytes(raw[p + 21 : p + 24], "big")
+            out.delay, out.padding = gap >> 12, gap & 0xFFF
         return True
     p = at + 36
-    if raw[p : p + 4] == b"VBRI":
-        out.table_bytes, out.table_frames = struct.unpack(">II", raw[p + 10 : p + 18])
+    if raw[p : p + 4] == b"VBRI" and p + 26 <= len(raw):
+        out.table_bytes, out.table_frames, entries, scale, width, out.seek_frames = struct.unpack(">IIHHHH", raw[p + 10 : p + 26])
+        table = raw[p + 26 : min(p + 26 + entries * width, at + head.size)]
+        out.seek = [scale * int.from_bytes(table[i : i + width], "big") for i in range(0, len(table) - width + 1, width)] if width else []
         return True
     return False
 
@@ -248,26 +288,26 @@ def read_mpeg(raw: bytes) -> Stream:
     return out
 
 
-def read_payload(raw: bytes, stream: Stream) -> tuple[bytes, int]:
-    """The carried payload and its length without padding."""
-    stated, total = map(int, stream.tags[KEY.decode()].split())
+def read_payload(raw: bytes, stream: Stream) -> tuple[bytes, int] | None:
+    """The carried payload and its length without padding; none if the stream carries none, or has lost or changed a part of it."""
+    stated = stream.tags.get(KEY.decode(), "").split()
+    if len(stated) != 3 or not (stated[0].isdigit() and stated[1].isdigit()):
+        return None
     parts = [raw[at + 6 + h.side : at + h.size] for at, h in zip(stream.frames, stream.headers, strict=True)]
-    payload = b"".join(parts)[:total]
-    if len(payload) != total or stream.bad_checksums:
-        raise ValueError("the stream has lost part of its payload")
-    return payload, stated
+    payload = b"".join(parts)[: int(stated[1])]
+    return (payload, int(stated[0])) if hashlib.sha256(payload).hexdigest() == stated[2] else None
 
 
 # --- columns -----------------------------------------------------------------------------
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and media (a stream that carries the padded UTF-8 text). Null text counts as empty."""
+    """doc_id and media (a stream that carries the padded UTF-8 text). Null text counts as empty; equal texts give equal
+    streams. Ids are passed on, null and repeated ones too; other columns are not read. An empty table gives no rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 media = [write_mpeg(padded(t), len(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
@@ -279,32 +319,33 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 MEDIA_FIELDS = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, samples long, sample_rate int, n_frames int, seek_offsets array<long>"
+    "feature string, samples long, sample_rate int, n_frames int, seek_offsets array<long>, sound long"
 )
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """Facts of each ``media`` of ``to_media``, all taken from its bytes.
+    """Facts of each (doc_id, media), all taken from its bytes, whoever wrote them.
 
-    ``samples`` over ``sample_rate`` is the exact duration. ``seek_offsets`` has the byte offset of
-    every frame. ``feature`` sums the stream up: frames, samples, Hz, mean
-    bytes a frame, checksums verified and bad, those not verified, bytes skipped, and a digest of all frame offsets.
-    A row without media gives nulls.
+    ``samples`` over ``sample_rate`` is the exact duration, ``sound`` is that without an encoder's delay and padding. ``seek_offsets``
+    has the byte offset of every frame. ``feature`` sums the stream up: frames, samples, Hz, what a table of a variable bit rate
+    states, checksums verified and bad, those not verified, bytes skipped, and a digest of all frame offsets.
+    Streams that ``to_media`` did not write, and those whose payload is damaged, have null payload columns. A stream
+    without frames, an empty one too, has none and rate 0. A row without media gives nulls. Ids are passed on, null and repeated ones too.
     """
 
     def facts(raw: bytes | None) -> list:
         if raw is None:
-            return [None] * 11
+            return [None] * 12
         s = read_mpeg(raw)
-        payload, stated = read_payload(raw, s)
+        payload, stated = read_payload(raw, s) or (None, None)
         rate = s.headers[0].sample_rate if s.headers else 0
         places = hashlib.sha256(np.array(s.frames, "<u8").tobytes()).hexdigest()[:16]
         feature = f"frames={len(s.frames)};samples={s.samples};hz={rate};table={s.table_frames},{s.table_bytes};crc={s.checked},{s.bad_checksums};unchecked={s.unchecked};skipped={s.skipped};offsets={places}"
         return [
             stated,
-            len(payload),
-            hashlib.sha256(payload).hexdigest(),
-            zlib.crc32(payload[-UNIT:]),
+            None if payload is None else len(payload),
+            None if payload is None else hashlib.sha256(payload).hexdigest(),
+            None if payload is None else zlib.crc32(payload[-UNIT:]),
             len(raw),
             hashlib.sha256(raw).hexdigest(),
             feature,
@@ -312,15 +353,15 @@ def from_media(media: DataFrame) -> DataFrame:
             rate,
             len(s.frames),
             s.frames,
+            s.sound,
         ]
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
     names = [f.split()[0] for f in MEDIA_FIELDS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 rows = [facts(m) for m in part.column(1).to_pylist()]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
