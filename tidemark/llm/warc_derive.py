@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .word_pool import slices
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # of responses built from a table without dates
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidemark:warc")
@@ -156,20 +158,63 @@ def content(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, byte
     return payload, body
 
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|noscript)\b[^>]*>.*?</\2\s*>", re.S | re.I)
 _HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.I)
 _ELEMENT = re.compile(r"<(/?)([a-z][a-z0-9-]*)\b[^>]*>", re.I)
 _END_TITLE = re.compile(r"</title\s*>", re.I)
 _OF_HEAD = frozenset("html head title base basefont bgsound link meta noframes script style template noscript".split())
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|dl|dt|dd|form|hr|title)\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:[/a-zA-Z!?][^>]*)>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDING = {name: (re.compile(rf"<{name}\b[^>]*>", re.I), re.compile(rf"</{name}\s*>", re.I)) for name in ("script", "style", "template", "noscript", "title")}
+_HTML = re.compile(r"<html\b[^>]*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_ANCHOR = re.compile(r"<a\b[^>]*>", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
+def _uncommented(page: str) -> str:
+    """A page without comments; one that stays open hides the rest."""
+    out, at = [], 0
+    while (start := page.find("<!--", at)) >= 0:
+        out.append(page[at:start])
+        end = page.find("-->", start + 4)
+        at = len(page) if end < 0 else end + 3
+    return "".join(out) + page[at:]
+
+
+def _tagged(page: str) -> tuple[str, str]:
+    """A page up to its last closing bracket, and the rest, which holds no tag. No pattern has to look for a bracket that is not there,
+    so that each takes a time in proportion to the length of the page."""
+    at = page.rfind(">") + 1
+    return page[:at], page[at:]
+
+
+def _without(page: str, name: str, to_end: bool) -> tuple[str, bool]:
+    """A page without the elements of that name, and whether one stays open; that hides the rest, or nothing."""
+    opening, closing = _HIDING[name]
+    out, at = [], 0
+    while start := opening.search(page, at):
+        end = closing.search(page, start.end())
+        if end is None and not to_end:
+            break  # nor does any later one close
+        out += [page[at : start.start()], " "]
+        if end is None:
+            return "".join(out), True
+        at = end.end()
+    return "".join(out) + page[at:], False
+
+
+def _links(page: str) -> list[str]:
+    found = (_HREF.search(tag[0]) for tag in _ANCHOR.finditer(_tagged(page)[0]))
+    return [html.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
+
+
+def _title(page: str) -> str | None:
+    start = _HIDING["title"][0].search(page)
+    end = start and _END_TITLE.search(page, start.end())
+    return page[start.end() : end.start()] if end else None
+
+
 def _plain(marked: str) -> str:
     """Character references resolved, white space of each line as single spaces, empty lines gone."""
     lines = (" ".join(line.split()) for line in html.unescape(marked).split("\n"))
@@ -179,10 +224,13 @@ def _plain(marked: str) -> str:
 def _shown(page: str) -> str:
     """A page without comments, less scripts, styles and head. A head ends at its closing tag, or where a browser ends it: at
     the first text or tag of the body. A template or noscript that stays open hides nothing."""
-    page = _HIDDEN.sub(" ", page)
+    page, rest = _tagged(page)
+    for name in ("script", "style", "template", "noscript"):
+        page, stays_open = _without(page, name, name in ("script", "style"))
+        rest = "" if stays_open else rest
     head = _HEAD.search(page)
     if head is None:
-        return page
+        return page + rest
     at = head.end()
     while tag := _ELEMENT.search(page, at):
         closing, name = bool(tag[1]), tag[2].lower()
@@ -198,13 +246,13 @@ def _shown(page: str) -> str:
         if name == "title" and not closing:
             end = _END_TITLE.search(page, at)
             at = end.end() if end else len(page)
-    return f"{page[: head.start()]} {page[at:]}"
+    return f"{page[: head.start()]} {page[at:]}{rest}"
 
 
 def visible_text(page: str) -> str:
     """The text of a page: a line for each block, without scripts, styles, head and comments."""
-    shown = _shown(_COMMENT.sub("", page)).replace("\r", " ").replace("\n", " ")
-    return _plain(_TAG.sub("", _BREAK.sub("\n", shown)))
+    shown, rest = _tagged(_shown(_uncommented(page)).replace("\r", " ").replace("\n", " "))
+    return _plain(_TAG.sub("", _BREAK.sub("\n", shown)) + rest)
 
 
 def derive(source: Record) -> list[Record]:
@@ -229,14 +277,15 @@ def derive(source: Record) -> list[Record]:
         return Record([*fields, ("Content-Type", content_type), ("WARC-Block-Digest", digest(block))], block)
 
     conversion = made("conversion", "text/plain; charset=utf-8", visible_text(page).encode(), [])
-    clean = _COMMENT.sub("", page)
-    title, lang = _TITLE.search(clean), _LANG.search(clean)
+    clean = _uncommented(page)
+    title, root = _title(_tagged(clean)[0]), _HTML.search(_tagged(clean)[0])
+    lang = root and _LANG.search(root[0])
     notes = [("conversion-record-id", conversion.get("WARC-Record-ID")), ("digest-verified", "yes" if good else "no")]
     notes += [(f"source-{n.lower()}", v) for n, v in (("Block-Digest", block_digest), ("Payload-Digest", payload_digest), ("Refers-To", source.get("WARC-Refers-To"))) if v]
     notes += [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in headers)]
-    notes += [("title", _plain(title[1].replace("\n", " ")))] if title else []
+    notes += [("title", _plain(title.replace("\n", " ")))] if title is not None else []
     notes += [("language", lang[1])] if lang else []
-    notes += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(_shown(clean))]
+    notes += [("outlink", link) for link in _links(_shown(clean))]
     fields = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in notes).encode()
     return [conversion, made("metadata", "application/warc-fields", fields, [("WARC-Concurrent-To", conversion.get("WARC-Record-ID") or "")])]
 
@@ -246,8 +295,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 2):
                 rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
                 made = [response(str(key), url, body).to_bytes() for key, url, body in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["page_id", "record"])
@@ -257,27 +305,32 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return rows.mapInArrow(work, f"page_id {kind}, record binary")
 
 
-DERIVED = "record_type string, record_id string, refers_to string, target_uri string, n_bytes long, source_payload_digest string, block_sha256 string, record_sha256 string, record binary"
+DERIVED = "record_type string, record_id string, refers_to string, target_uri string, n_bytes long, source_payload_digest string, block_sha256 string, record_sha256 string, record binary, error string"
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """Two rows for each response in (page_id, record): its conversion and its metadata record.
 
     record_sha256 and block_sha256 are lowercase hex. Rows that are null or no response give none; bytes that
-    are no record stop the job. Each record is worked on alone.
+    are no record give one row of record_type ``error`` that says why in ``error`` and has null elsewhere. Each record is worked
+    on alone, so rows that repeat a page give equal rows; an empty table gives none.
     """
     names = ["page_id", *(f.split()[0] for f in DERIVED.split(", "))]
-    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 3 + [pa.binary()]
+    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 3 + [pa.binary(), pa.string()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 keys, rows = [], []
                 for i, raw in enumerate(part.column(1).to_pylist()):
                     if raw is None:
                         continue
-                    source = parse_record(raw)
+                    try:
+                        source = parse_record(raw)
+                    except ValueError as e:
+                        keys.append(i)
+                        rows.append(("error", *[None] * 8, str(e)))
+                        continue
                     for r in derive(source):
                         done = r.to_bytes()
                         keys.append(i)
@@ -292,6 +345,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                                 hashlib.sha256(r.block).hexdigest(),
                                 hashlib.sha256(done).hexdigest(),
                                 done,
+                                None,
                             )
                         )
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
