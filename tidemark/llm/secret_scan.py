@@ -9,6 +9,7 @@ is DataFrame functions: positions follow from the lengths of matches and of the
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ ASSIGN = KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"  # a shorter run holds no longer one
 HEX = "[0-9a-f]{24,}"  # runs are taken whole, so this equals dropping short ones
 CANDIDATE = "[A-Za-z0-9+/_-]{12,}"  # 12 characters in base 62 hold 71 bits; keys hold 64 and more
+RUN = 64
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
@@ -78,7 +80,9 @@ def train(samples: DataFrame) -> list[float]:
     no other pair counts more than ``MOST``, so that one foreign pair (``v1``) is no evidence alone.
     At most a row for each label and pair comes to the driver.
     """
-    pairs = samples.select("label", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
+    known = samples.where("label IN ('random', 'ordinary') AND length(value) > 1")
+    pairs = known.select("label", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
+    pairs = pairs.where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$"))
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     kind = {c: k for k, members in enumerate(CLASSES) for c in members}
     steps = {(label, i, j): 1 for label in ("random", "ordinary") for i in range(len(CLASSES)) for j in range(len(CLASSES))}
@@ -102,18 +106,58 @@ def _matches(text: Column, pattern: str, order: int, group: int = 0) -> Column:
     """Array of (start, order, end, value): the matches from left to right, value being the group's text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
-    triples = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("found"), value.alias("value"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,value:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(x: Column, end: Column) -> Column:
+        return F.struct((end - F.length(x["found"])).alias("start"), F.lit(order).alias("order"), end.alias("end"), x["value"].alias("value"))
+
+    def placed(triples: Column) -> Column:
+        ends = running(F.transform(triples, lambda x: F.length(x["gap"]) + F.length(x["found"])), F.lit(0), lambda x, y: x + y)
+        return F.zip_with(triples, ends, span)
+
+    between = F.split(text, pattern, -1)  # one more than there are matches
+    triples = F.arrays_zip(between.alias("gap"), found.alias("found"), value.alias("value"))
+    triples = F.filter(triples, lambda x: x["found"].isNotNull())
+    return F.when(text.rlike(pattern), let(triples, placed)).otherwise(none)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints, ``join`` over it and all before. ``join`` is associative and ``zero`` changes nothing.
+
+    Runs of ``RUN`` elements are joined first, then their ends, as an array that grows by one element at a time is copied each time.
+    """
+    last = lambda x: F.get(x, F.size(x) - 1)
+    grow = lambda acc, x: F.concat(acc, F.array(join(F.coalesce(last(acc), zero), x)))
+    none = F.array().cast("array<int>")
+
+    def runs(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(v, i * RUN + 1, F.lit(RUN)), none, grow))
+
+    def joined(r: Column) -> Column:
+        before = F.aggregate(F.transform(r, last), F.array(zero), grow)
+        return F.flatten(F.zip_with(r, F.slice(before, F.lit(1), F.size(r)), lambda run, x: F.transform(run, lambda y: join(x, y))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(runs(v), joined)).otherwise(none))
+
+
+def apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that meet none of ``base``; both are sorted together, and what begins before and after is looked at in passing."""
+    marked = lambda of, own: F.transform(of, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span")))
+    far = F.lit((1 << 31) - 1)
+
+    def free(both: Column) -> Column:
+        reach = running(F.transform(both, lambda x: F.when(x["own"], 0).otherwise(x["end"])), F.lit(0), F.greatest)
+        ahead = F.reverse(running(F.transform(F.reverse(both), lambda x: F.when(x["own"], far).otherwise(x["start"])), far, F.least))
+        rows = F.arrays_zip(both.alias("x"), reach.alias("reach"), ahead.alias("ahead"))
+        return F.transform(F.filter(rows, lambda y: y["x"]["own"] & (y["reach"] <= y["x"]["start"]) & (y["ahead"] >= y["x"]["end"])), lambda y: y["x"]["span"])
 
-    run = F.aggregate(triples, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), run).otherwise(none)
+    return let(F.array_sort(F.concat(marked(spans, True), marked(base, False))), free)
 
 
 def _written(spans: Column) -> Column:
@@ -173,14 +217,16 @@ def segments(run: Column, ratios: list[float]) -> Column:
     return F.transform(F.aggregate(wide, none, merge), span)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 and spans of every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, in order of start, then kind. Base spans of
     different kinds may overlap; a random-looking string is added only where it meets no base span. Null text
-    counts as empty and has no spans. Rows that repeat an id each get their own result.
+    counts as empty and has no spans. Rows that repeat an id, and null ids, each get their own result; an empty table gives none. The
+    time that a text takes grows with its length and hardly with the number of its spans. The models are trained from ``samples`` (label, which is
+    ``random`` or ``ordinary``, and value), by default generated ones; null values, and labels of other names, are left out.
     """
-    ratios = train(labelled_samples(docs.sparkSession))
+    ratios = train(labelled_samples(docs.sparkSession) if samples is None else samples)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     rows = rows.select(
@@ -191,8 +237,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _matches(text, CANDIDATE, 4).alias("candidate"),
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    meets = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    rows = rows.withColumn("markov", F.filter(F.flatten(F.transform("candidate", lambda c: segments(c, ratios))), lambda c: ~meets(c)))
+    rows = rows.withColumn("found", F.flatten(F.transform("candidate", lambda c: segments(c, ratios))))
+    some = (F.size("found") > 0) & (F.size("base") > 0)
+    rows = rows.withColumn("markov", F.when(some, apart(F.col("found"), F.col("base"))).otherwise(F.col("found")))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
