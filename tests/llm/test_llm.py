@@ -440,6 +440,10 @@ def test_records_keep_sources_and_reject_damage():
         ("<head><script>'<p>'</script><title>T</title></head>One", "One"),
         ("<head><title>T</title></head><noscript>n</noscript>One <noscript>two <template>three", "One two three"),
         ("<head><title>T</title>", ""),
+        ("<p>One</p><script>x</script> two", "One\ntwo"),
+        ("<p>One</p><script>x two", "One"),
+        ("One <!-- two", "One"),
+        ("One <b", "One <b"),
     ],
 )
 def test_open_heads_hide_no_text(page, text):
@@ -508,9 +512,9 @@ def families(seed, n, words=90):
     return texts
 
 
-@pytest.mark.parametrize("long_list, salt_rows, least", [(64, 4096, 16), (2, 3, 2)])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, long_list, salt_rows, least):
-    monkeypatch.setattr(shingle_join, "LONG_LIST", long_list)
+@pytest.mark.parametrize("block, salt_rows, least", [(4096, 4096, 16), (3, 3, 2), (4096, 2, 3)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, block, salt_rows, least):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
     monkeypatch.setattr(shingle_join, "SALT_ROWS", salt_rows)
     monkeypatch.setattr(shingle_join, "LEAST_FREQUENT", least)
     texts = [*families(11, 25), None, "", " \t", "a b", "A  B", "a b c d e", "one two three four"]
@@ -520,6 +524,65 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, long_list, sal
     assert kept == sorted({c for _, _, c in brute_components(list(range(len(texts))), texts)})
 
 
+def common_texts(seed, n):
+    """Texts that are cut from few long ones, with changes, so that most of their shingles are frequent."""
+    rnd = random.Random(seed)
+    bases = [[f"b{k}w{i}" for i in range(160)] for k in range(3)]
+    texts = []
+    for _ in range(n):
+        base = rnd.choice(bases)
+        at = rnd.randrange(0, 60)
+        words = base[at : at + rnd.randint(20, 100)]
+        for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+            words[rnd.randrange(len(words))] = rnd.choice(["x", "y", f"{rnd.random()}"])
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_combinations_of_frequent_shingles_at_default_settings(spark):
+    """Nearly all links of these texts are found by combinations alone, as their shingles occur far more than 16 times."""
+    texts = common_texts(5, 500)
+    frequent = Counter(s for t in texts for s in shingle_join.words_of(t))
+    wholly = [t for t in texts if all(frequent[s] >= shingle_join.LEAST_FREQUENT for s in shingle_join.words_of(t))]
+    assert len(wholly) > 150
+    rows = shingle_join.jaccard_components(docs(spark, texts).coalesce(1)).collect()
+    want = brute_components(list(range(len(texts))), texts)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == want
+    assert 3 < len({c for _, _, c in want}) < 400
+
+
+def test_lists_have_every_link_without_components():
+    """Every pair of linked sets shares a list whose bound lets it through, whatever the threshold of frequency."""
+    texts = common_texts(6, 150) + families(3, 8)
+    sets = [np.unique(np.array([zlib.crc32(repr(s).encode()) for s in shingle_join.words_of(t)], np.uint64)) for t in texts]
+    counts = Counter(x for t in sets for x in t.tolist())
+    for least in (2, 8, 40, 10**9):
+        known = np.array(sorted(x for x, n in counts.items() if n >= least) or [0], np.uint64)
+        count = np.array([counts[x] for x in known.tolist()], np.int64)
+        lists = [{int(k): (int(p), int(o)) for k, _, p, o in zip(*shingle_join._indexed(t, known, count, np.flatnonzero(np.isin(t, known))), strict=True)} for t in sets]
+        assert all(len(x) <= 0.75 * len(t) + 3 for x, t in zip(lists, sets, strict=True))
+        for i in range(len(sets)):
+            for j in range(i):
+                both, n, m = len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])
+                if both * 100 >= 75 * (n + m - both) and both < max(n, m):
+                    places = [(lists[i][k], lists[j][k]) for k in lists[i].keys() & lists[j].keys()]
+                    assert any(175 * (min((o + u + 2) // 3, o, u) + min(n - p, m - q)) >= 75 * (n + m) for (p, o), (q, u) in places)
+
+
+def test_columns_may_have_any_names(spark):
+    """Each stage that keeps whole rows keeps them unchanged, whatever its own columns are called."""
+    names = ["node", "mark", "_mark", "_kept", "which", "row", "rank", "stays", "_row", "_hit", "_bucket", "_sha", "_rank", "_kid", "_ksha", "_copies", "_copy", "_id", "_did", "_dsize", "_source", "_order", "_body", "_digest", "_salt", "hit", "key", "size", "n"]
+    texts = ["one two three four five six seven"] * 3 + ["one  two three four five six seven", "quite other words are in this text", None, ""]
+    x = docs(spark, texts, source={1: "t", 4: None}).select("doc_id", "text", "lang", "source", "n_chars")
+    x = x.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    x = x.union(x.limit(1)).union(x.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [tuple(r) for r in x.collect()]
+    for stage in (exact_dedup.drop_exact_copies, shingle_join.keep_one_of_each, source_mix.repeat_by_mix):
+        out = stage(x)
+        assert out.columns == x.columns
+        assert out.count() and {tuple(r) for r in out.collect()} <= set(rows), stage
+
+
 def test_stars_alone_do_not_decide(spark):
     """Two sets that are far from the smallest one of their lists but near each other are still linked."""
     w = [str(i) for i in range(100)]
