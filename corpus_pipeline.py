@@ -21,7 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID gives a language; those it rejects as ``und`` go."""
+    """Documents that language ID gives a language; those it rejects as ``und`` go: texts that are null, empty or without a
+    letter, and all texts if no document has a language to learn from. Rows are kept as they are, repeated ones too."""
     return language_id.with_language(docs)
 
 
@@ -36,17 +37,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them. Null is a source of its own; rows of no words are never taken; ties of the
+    order go by id, then size; rows that repeat an id are told apart by their texts."""
     return source_mix.repeat_by_mix(docs, source_mix.quality_weights(_table(spark, sf_dir, "labels")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every row of the mixture."""
+    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every row of the mixture. Null ids and sources are passed on,
+    repeated rows each get their own result, a null text counts as empty, and an empty table gives no rows."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     keyed = docs.select(F.struct("doc_id", "source").alias("key"), "text")
-    done = sentencepiece_bpe.encode_decode(keyed, path, "key")
+    done = sentencepiece_bpe.encode_decode(keyed, path, "key", outputs=False)
     return done.select("doc_id.doc_id", "doc_id.source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
