@@ -1,4 +1,4 @@
-"""Captures, tables, paging, manifests, ledgers and sinks on small files."""
+"""Captures, tables, paging, manifests and sinks on small files."""
 
 import gzip
 import json
@@ -9,7 +9,7 @@ import pytest
 
 from tidemark import cli
 from tidemark.operators import asof, audit, model
-from tidemark.plans import ledger, manifest, sinks
+from tidemark.plans import manifest, sinks
 from tidemark.sources import raw_events, rest, tables
 
 T0 = 1_782_691_200_000
@@ -80,7 +80,7 @@ def test_manifest_groups_files_by_day_and_role(spark, capture):
     (folder / "recorder.log.2026-06-29.gz").write_bytes(b"x")
     m = manifest.records(tables.file_identity(spark, str(folder)))
     r = m.first()
-    assert m.count() == 1 and sorted(r["inputs"]) == ["binance", "recorder_log"] and r["missing_input_roles"] == ["polymarket"]
+    assert m.count() == 1 and sorted(r["inputs"]) == ["binance_raw", "recorder_log"] and r["missing_input_roles"] == ["polymarket_raw"]
     cover = spark.createDataFrame([(plain.name, "2026-06-29T00:00:00Z")], "alias string, start_utc string")
     assert manifest.runnable(manifest.with_coverage(m, cover)).count() == 1
     assert manifest.find(m, "2026-06-29").count() == 1
@@ -91,15 +91,6 @@ def test_manifest_groups_files_by_day_and_role(spark, capture):
         manifest.with_coverage(m, clash).collect()
 
 
-def test_ledger_skips_only_what_still_matches(spark, tmp_path):
-    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
-    units = spark.createDataFrame([("d1", "a", "x"), ("d2", "b", "y")], "unit string, input_sha256 string, output_sha256 string")
-    assert book.due(units, "s", "1").count() == 2
-    book.record(units.selectExpr("'s' stage", "'1' version", "*", "'completed' status"))
-    assert book.due(units, "s", "1").count() == 0 and book.due(units, "s", "2").count() == 2
-    assert book.due(units.selectExpr("unit", "input_sha256", "'z' output_sha256"), "s", "1").count() == 2
-
-
 def test_sinks_write_whole_files_once(spark, tmp_path):
     path = str(tmp_path / "out.csv")
     x = spark.createDataFrame([(2, 0.5, True, None), (1, 0.125, False, "a")], "k int, v double, b boolean, s string")
@@ -126,14 +117,14 @@ def test_commands(spark, capture, tmp_path):
     assert cli.main([*base, "--output", out], spark) == 0
     assert json.load(open(out))["archives"][0]["missing_starts"] == 0
     assert cli.main([*base, "--output", out], spark) == 2
-    assert cli.main(["nothing"], spark) == 2 and len(cli.COMMANDS) == 16
+    assert cli.main(["nothing"], spark) == 2 and len(cli.COMMANDS) == 17
     view = str(tmp_path / "view")
     k = ["--start", "2026-06-29T00:00:00Z", "--duration-seconds", "600"]
     assert cli.main(["feature-view", str(plain), *k, "--output", view], spark) == 0
     assert cli.main(["proxy-targets", str(plain), *k, "--output", view + "t"], spark) == 0
     joined = ["--audit", view + "a", "--model", view + "m", "--report", view + ".json"]
     assert cli.main(["proxy-join", "--features", view, "--targets", view + "t", *joined], spark) == 0
-    assert json.load(open(view + ".json"))["audit_rows"] == 2
+    assert json.load(open(view + ".json"))["counters"]["audit_rows"] == 2
 
 
 def test_historical_command_resumes(spark, tmp_path):
@@ -149,12 +140,19 @@ def test_historical_command_resumes(spark, tmp_path):
             stamp = at.strftime("%Y-%m-%dT%H:%M:%S.000Z")
             lines.append(f"{stamp},{p},{p + 1},{p - 1},{p + 0.5},{5 + m % 3},{stamp},1,1,1,1")
         (folder / f"2026-06-0{1 + d}.csv").write_text("\n".join(lines) + "\n")
-    a = ["historical-15m", str(folder), "--audit", str(tmp_path / "a"), "--model", str(tmp_path / "m"), "--ledger", str(tmp_path / "l"), "--train-days", "1", "--validation-days", "1"]
+    a = ["historical-15m", str(folder), "--audit", str(tmp_path / "a"), "--model", str(tmp_path / "m"), "--report", str(tmp_path / "l.json"), "--csv", str(tmp_path / "csv"), "--train-days", "1", "--validation-days", "1"]
     assert cli.main(a, spark) == 0
     assert spark.read.parquet(str(tmp_path / "a")).count() == 288
     parts = {r["part"]: r["count"] for r in spark.read.parquet(str(tmp_path / "m")).groupBy("part").count().collect()}
     assert parts == {"train": 96, "validation": 96, "test": 96}
-    assert cli.main(a, spark) == 0
+    one = tmp_path / "csv" / "days" / "2026-06-03.csv"
+    assert len(one.read_text().splitlines()) == 97 and len((tmp_path / "csv" / "dataset-audit-v1.csv").read_text().splitlines()) == 289
+    made = one.stat().st_mtime_ns
+    assert cli.main(a, spark) == 0 and one.stat().st_mtime_ns == made
+    one.write_text("damaged")
+    assert cli.main(a, spark) == 0 and len(one.read_text().splitlines()) == 97
+    (folder / "2026-06-04.csv").write_text((folder / "2026-06-04.csv").read_text().replace("\n2026-06-04T00:01", "\n2026-06-04T00:00"))
+    assert cli.main(a, spark) == 2 and json.load(open(tmp_path / "l.json"))["status"] == "failed"
 
 
 def test_exact_logistic_optimum(spark):

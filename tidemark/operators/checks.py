@@ -47,6 +47,26 @@ def aligned(rows: DataFrame, ms: str, step_ms: int, what: str = "rows") -> DataF
     return rows
 
 
+def all_hold(rows: DataFrame, rules: dict[str, Column], show: list[str]) -> DataFrame:
+    """Every row meets every rule, by one aggregate over all of them; null counts as a breach."""
+    broken = {f"r{i}": ~F.coalesce(rule, F.lit(False)) for i, rule in enumerate(rules.values())}
+    first = [F.min(F.when(bad, F.struct(*show))).alias(name) for name, bad in broken.items()]
+    found = rows.agg(*first).first()
+    wrong = [f"{what}: {found[f'r{i}'].asDict()}" for i, what in enumerate(rules) if found[f"r{i}"] is not None]
+    if wrong:
+        raise ConstraintError("; ".join(wrong))
+    return rows
+
+
+def in_domain(rows: DataFrame, domains: dict[str, list], what: str = "rows") -> DataFrame:
+    """Each of the columns has one of the values named for it."""
+    bad = F.lit(False)
+    for column, values in domains.items():
+        bad = bad | ~F.coalesce(F.col(column).isin(values), F.lit(False))
+    _none(rows.where(bad).select(*domains), f"{what}: values outside their domain")
+    return rows
+
+
 def holds(rows: DataFrame, rule: Column, what: str) -> DataFrame:
     """Every row meets ``rule``; null counts as a breach."""
     _none(rows.where(~F.coalesce(rule, F.lit(False))), what)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+KIND = "standardised-logistic-1"
+
+
 @dataclass
 class Scaled:
     """Weights with the scaling that they expect."""
@@ -23,6 +26,16 @@ class Scaled:
     weight: list[float]
     intercept: float
 
+    def document(self) -> dict:
+        """The model as a JSON document, from which ``of`` makes it again."""
+        return {"kind": KIND, "features": self.features, "mean": self.mean, "deviation": self.deviation, "weight": self.weight, "intercept": self.intercept}
+
+    @classmethod
+    def of(cls, document: dict) -> Scaled:
+        if document.get("kind") != KIND:
+            raise ValueError("not a document of this kind of model")
+        return cls(*(document[k] for k in ("features", "mean", "deviation", "weight", "intercept")))
+
     def inputs(self) -> list[Column]:
         return [(F.col(f) - F.lit(m)) / F.lit(d) for f, m, d in zip(self.features, self.mean, self.deviation, strict=True)]
 
@@ -33,9 +46,14 @@ class Scaled:
         return 1 / (1 + F.exp(-z))
 
 
+def scaling(rows: DataFrame, features: list[str]) -> DataFrame:
+    """One row: mean (m0, m1, ...) and population deviation (d0, d1, ...) of each feature."""
+    return rows.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"d{i}") for i, f in enumerate(features)])
+
+
 def fit(rows: DataFrame, features: list[str], label: str = "y", strength: float = 1.0, steps: int = 25, tolerance: float = 1e-10) -> Scaled:
     """The exact optimum up to ``tolerance``; a feature that does not vary is only centred."""
-    stats = rows.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"d{i}") for i, f in enumerate(features)]).first()
+    stats = scaling(rows, features).first()
     n = len(features)
     if stats["m0"] is None:
         raise ValueError("no training rows")

@@ -32,6 +32,22 @@ def flag_counts(rows: DataFrame, flags: list[str]) -> DataFrame:
     return rows.selectExpr(f"stack({len(flags)}, {pairs}) AS (field, flag)").groupBy("field", "flag").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def missing_windows(targets: DataFrame, key: list[str], most: int | None = None) -> DataFrame:
+    """Windows without a valid target, by flag, in order; ``most`` of them where a report shows some only."""
+    x = targets.where("NOT target_valid").select("target_flag", *key).orderBy("target_flag", *key)
+    return x if most is None else x.limit(most)
+
+
+def unusable_rows(features: DataFrame, flags: list[str], key: list[str]) -> DataFrame:
+    """Feature rows that cannot be used, with their flags."""
+    return features.where("NOT usable").select(*key, *flags, "feature_flag")
+
+
+def sorted_values(rows: DataFrame, value: str) -> DataFrame:
+    """The values in ascending order, as a curve is drawn through them; nulls are left out."""
+    return rows.where(F.col(value).isNotNull()).select(value).orderBy(value)
+
+
 def day_quality(targets: DataFrame, day: str) -> DataFrame:
     """Per day: rows, valid, recovered, and missing ends that are or are not the day's last window."""
     missing = F.col("target_flag") == "missing_end_boundary"

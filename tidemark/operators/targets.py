@@ -72,30 +72,61 @@ def find_boundaries(wanted: DataFrame, observations: DataFrame) -> DataFrame:
     return found.withColumn("recoverable", F.coalesce(F.size("sources") > 0, F.lit(False)))
 
 
+def single_sources(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``find_boundaries``: overrides for ``recover`` from the boundaries that exactly one source observed, and the
+    boundaries that several did, which are ambiguous and stay for review."""
+    known = found.where("recoverable").select("boundary_ms", F.date_format(from_ms(F.col("window_ms")), "yyyy-MM-dd").alias("target_day"), "sources").distinct()
+    one = F.get("sources", F.lit(0))
+    fix = known.where(F.size("sources") == 1).select(
+        "boundary_ms", "target_day", one["close"].alias("close"), one["available_at"].alias("available_at"), one["series"].alias("source")
+    )
+    return fix, known.where(F.size("sources") > 1)
+
+
 def recover(target_rows: DataFrame, overrides: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """Target rows with missing ends taken from ``overrides`` (boundary_ms, close, available_at, source).
+    """Target rows with missing ends taken from ``overrides`` (boundary_ms, close, available_at, source, and target_day, the
+    UTC day of the window, if it is to be checked: another day stops the query).
 
     Only rows flagged missing_end_boundary change. Their start must be theirs, or be the end of the row that
-    directly precedes in the series, for the same interval; else ``needs_review`` is set. Input rows stay as they are otherwise.
+    directly precedes on the same day, for the same interval; else ``needs_review`` is set. A row whose end has been
+    taken lends it to the next, so a run of such rows is repaired from its first start on. Input rows stay as they are otherwise.
+    Rows are looked at by series and day.
     """
-    w = Window.partitionBy("series").orderBy("window_ms")
-    fix = overrides.select("boundary_ms", F.col("close").alias("fix_close"), F.col("available_at").alias("fix_at"), F.col("source").alias("fix_source"))
-    x = target_rows.withColumns(
-        {
-            "boundary_ms": F.col("window_end_ms") - grid.step_ms,
-            "before": F.lag(F.struct("window_end_ms", *END)).over(w),
-        }
-    ).join(fix, "boundary_ms", "left")
+    fix = overrides.select(
+        "boundary_ms",
+        F.col("close").alias("fix_close"),
+        F.col("available_at").alias("fix_at"),
+        F.col("source").alias("fix_source"),
+        (F.col("target_day") if "target_day" in overrides.columns else F.lit(None).cast("string")).alias("fix_day"),
+    )
     expected = F.col("window_ms") - grid.step_ms
+    day = F.date_format(from_ms(F.col("window_ms")), "yyyy-MM-dd")
+    x = target_rows.withColumns({"boundary_ms": F.col("window_end_ms") - grid.step_ms, "day": day}).join(fix, "boundary_ms", "left")
     asked = (F.col("target_flag") == "missing_end_boundary") & F.col("fix_close").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("a boundary is of "), F.col("fix_day"), F.lit(", its window of "), F.col("day"))).cast("boolean")
+    x = x.withColumn("asked", F.when(asked & (F.col("fix_day") != F.col("day")), wrong).otherwise(F.coalesce(asked, F.lit(False))))
+    w = Window.partitionBy("series", "day").orderBy("window_ms")
     own = (F.col("start_interval_ms") == expected) & F.col("start_price").isNotNull() & F.col("start_available_at").isNotNull()
-    own = F.coalesce(own, F.lit(False))
+    x = x.withColumns({"own": F.coalesce(own, F.lit(False)), "before": F.lag(F.struct("window_end_ms", *END, "asked", "fix_close", "fix_at")).over(w)})
     b = F.col("before")
-    lent = (b["window_end_ms"] == F.col("window_ms")) & (b["end_interval_ms"] == expected) & b["end_price"].isNotNull() & b["end_available_at"].isNotNull()
-    lent = ~own & F.coalesce(lent, F.lit(False))
-    x = x.withColumns({"fixed": asked & (own | lent), "borrowed": asked & lent, "needs_review": asked & ~own & ~lent})
-    take = lambda mine, theirs: F.when(F.col("borrowed"), b[theirs]).otherwise(F.col(mine))
-    x = x.withColumns({"p0": take("start_price", "end_price"), "i0": F.when(F.col("borrowed"), expected).otherwise(F.col("start_interval_ms")), "a0": take("start_available_at", "end_available_at")})
+    follows = F.coalesce(b["window_end_ms"] == F.col("window_ms"), F.lit(False))
+    lent = follows & (b["end_interval_ms"] == expected) & b["end_price"].isNotNull() & b["end_available_at"].isNotNull()
+    x = x.withColumns({"base": F.col("own") | F.coalesce(lent, F.lit(False)), "chained": follows & F.col("asked") & F.coalesce(b["asked"], F.lit(False))})
+    x = x.withColumn("run", F.sum(F.when(F.col("chained"), 0).otherwise(1)).over(w))
+    run = Window.partitionBy("series", "day", "run").orderBy("window_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("fixed", F.col("asked") & F.max("base").over(run))
+    # the end that the row before lends: what it was repaired with, or its own
+    relay = F.col("chained") & F.coalesce(F.lag("fixed").over(w), F.lit(False))
+    x = x.withColumns({"relay": relay, "borrowed": F.col("fixed") & ~F.col("own"), "needs_review": F.col("asked") & ~F.col("fixed")})
+    end = lambda fixed, old: F.when(F.col("relay"), b[fixed]).otherwise(b[old])
+    take = lambda mine, theirs: F.when(F.col("borrowed"), theirs).otherwise(F.col(mine))
+    x = x.withColumns(
+        {
+            "p0": take("start_price", end("fix_close", "end_price")),
+            "i0": take("start_interval_ms", expected),
+            "a0": take("start_available_at", end("fix_at", "end_available_at")),
+        }
+    )
     fixed = F.col("fixed")
     late = epoch_ms(F.col("a0")) > F.col("window_ms")
     now = lambda new, old: F.when(fixed, new).otherwise(F.col(old)).alias(old)
@@ -119,3 +150,11 @@ def recover(target_rows: DataFrame, overrides: DataFrame, grid: Grid = Grid()) -
         F.when(fixed, F.when(F.col("borrowed"), "previous_window_end").otherwise("target_row_start")).alias("start_source"),
         "needs_review",
     )
+
+
+def recovery_counters(recovered: DataFrame) -> DataFrame:
+    """Per UTC day: rows, recovered rows, and rows that need review."""
+    day = F.date_format(from_ms(F.col("window_ms")), "yyyy-MM-dd").alias("day")
+    return recovered.groupBy(day).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("start_source").isNotNull()).alias("recovered_rows"), F.count_if("needs_review").alias("review_rows")
+    )

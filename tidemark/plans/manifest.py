@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 VERSION = 2
 #: fixed values: roles and the file names that carry them
 ROLES = {
-    "binance": r"^binance_raw_events_(\d{4}-\d{2}-\d{2})\.jsonl\.gz$",
-    "polymarket": r"^polymarket_raw_events_(\d{4}-\d{2}-\d{2})\.jsonl\.gz$",
-    "recorder_log": r"^recorder\.log\.(\d{4}-\d{2}-\d{2})\.gz$",
+    "binance_raw": r"^binance_raw_events_(20\d{2}-\d{2}-\d{2})\.jsonl\.gz$",
+    "polymarket_raw": r"^polymarket_raw_events_(20\d{2}-\d{2}-\d{2})\.jsonl\.gz$",
+    "recorder_log": r"^recorder\.log\.(20\d{2}-\d{2}-\d{2})\.gz$",
 }
+CAPTURE = "binance_raw"  # the role that is audited
 ZIP = "zip_archive"  # fixed value: role of a legacy archive, which is a record of its own
 
 
@@ -50,7 +51,10 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def records(files: DataFrame) -> DataFrame:
-    """A record for each day: inputs by role, roles that lack, the group's identity; two files of a role stop it."""
+    """A record for each day: inputs by role, roles that lack, the group's identity; two files of a role stop it.
+
+    The identity is the SHA-256 of a JSON document: by role, in order, relative_path, sha256 and size_bytes.
+    """
     x = classify(files)
     item = F.struct("name", F.col("path").alias("relative_path"), "size_bytes", "sha256")
     wanted = F.array(*[F.lit(r) for r in ROLES])
@@ -58,7 +62,9 @@ def records(files: DataFrame) -> DataFrame:
     roles = F.col("found.role")
     clash = F.size(roles) != F.size(F.array_distinct(roles))
     whole = F.when(clash, F.raise_error(F.concat(F.lit("two files of one role on "), F.col("day"))).cast("string")).otherwise(F.col("day"))
-    identity = F.sha2(F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["role"], f["input"]["sha256"])), ";"), 256)
+    described = lambda i: F.to_json(F.struct(i["relative_path"].alias("relative_path"), i["sha256"].alias("sha256"), i["size_bytes"].alias("size_bytes")))
+    members = F.transform("found", lambda f: F.concat(F.lit('"'), f["role"], F.lit('":'), described(f["input"])))
+    identity = F.sha2(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")), 256)
     return x.select(
         whole.alias("day"),
         F.concat(F.lit("group-"), F.col("day")).alias("group_id"),
@@ -101,9 +107,16 @@ def find(manifest: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def runnable(manifest: DataFrame, force: bool = False) -> DataFrame:
-    """Records a batch may work on; running, unknown or uncovered ones stop it."""
-    bad = manifest.where(~F.col("status").isin("pending", "completed", "failed", "interrupted") | F.col("start_utc").isNull()).select("group_id", "status").limit(3).collect()
+def status_counts(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("status").agg(F.count(F.lit(1)).alias("records"))
+
+
+def runnable(manifest: DataFrame, force: bool = False, retry_failed: bool = True, recover_running: bool = False) -> DataFrame:
+    """Records a batch may work on: pending and interrupted ones; failed ones with ``retry_failed``, and all with ``force``. Running
+    ones stop it, unless a crash left them behind and ``recover_running`` takes them up; unknown or uncovered ones stop it."""
+    known = ["pending", "completed", "failed", "interrupted", *(["running"] if recover_running else [])]
+    bad = manifest.where(~F.col("status").isin(known) | F.col("start_utc").isNull()).select("group_id", "status").limit(3).collect()
     if bad:
         raise ValueError(f"records that cannot run: {bad}")
-    return manifest if force else manifest.where("status != 'completed'")
+    due = ["pending", "interrupted", *(["failed"] if retry_failed else []), *(["running"] if recover_running else [])]
+    return manifest if force else manifest.where(F.col("status").isin(due))

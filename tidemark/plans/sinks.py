@@ -10,6 +10,7 @@ import json
 import os
 import re
 import uuid
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from typing import Any
 
@@ -29,8 +30,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def put(spark: SparkSession, aside: str, path: str) -> None:
+    """Renames ``aside`` over ``path`` in one step of the store, so that one of the two files is there at any time."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs, target = _fs(spark, path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(name(aside)), fs.makeQualified(target), options)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def texts(df: DataFrame, numbers: str = "%.12g") -> DataFrame:
-    """Every column as text: booleans in lower case, instants with milliseconds, null as ""."""
+    """Every column as text: booleans in lower case, instants with microseconds, null as ""."""
     as_text = number_text(numbers)
     out = []
     for name, kind in df.dtypes:
@@ -38,7 +55,7 @@ def texts(df: DataFrame, numbers: str = "%.12g") -> DataFrame:
         if kind in ("double", "float"):
             c = as_text(c.cast("double"))
         elif kind == "timestamp":
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         out.append(F.coalesce(c.cast("string"), F.lit("")).alias(name))
     return df.select(out)
 
@@ -52,11 +69,46 @@ def write_csv(df: DataFrame, path: str, order: list[str], overwrite: bool = True
     aside = f"{path}.{uuid.uuid4().hex}.tmp"
     texts(df.orderBy(*order).coalesce(1)).write.csv(aside, header=True, emptyValue="")
     _, folder = _fs(spark, aside)
-    part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be put in place")
-    fs.delete(folder, True)
+    try:
+        part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+        put(spark, part.toString(), path)
+    finally:
+        fs.delete(folder, True)
+
+
+def write_day_csvs(df: DataFrame, path: str, day: str, order: list[str]) -> list[str]:
+    """``<day>.csv`` in a folder for each day, sorted and with a header, each renamed over the one before; days that are not in
+    ``df`` stay as they are. One job writes all days, a task for each; the paths of the files are returned."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}/.{uuid.uuid4().hex}.tmp"
+    named = df.select(F.col(day).cast("string").alias("file_of_day"), *[F.col(c) for c in df.columns if c != day])
+    ordered = named.repartition("file_of_day").sortWithinPartitions("file_of_day", *order)
+    body = texts(ordered)
+    body.write.partitionBy("file_of_day").csv(aside, header=True, emptyValue="")
+    fs, folder = _fs(spark, aside)
+    out = []
+    try:
+        for one in fs.listStatus(folder):
+            name = one.getPath().getName()
+            if "=" not in name:
+                continue
+            target = f"{path.rstrip('/')}/{name.partition('=')[2]}.csv"
+            part = next(s.getPath() for s in fs.listStatus(one.getPath()) if s.getPath().getName().startswith("part-"))
+            put(spark, part.toString(), target)
+            out.append(target)
+    finally:
+        fs.delete(folder, True)
+    return sorted(out)
+
+
+def write_whole_csv(df: DataFrame, path: str, order: list[str]) -> int:
+    """All rows as one file, which is read again: other rows than were written stop it."""
+    wanted = df.count()
+    write_csv(df, path, order)
+    found = df.sparkSession.read.csv(path, header=True).count()
+    if found != wanted:
+        raise OSError(f"{path} has {found} rows, {wanted} were written")
+    return found
 
 
 def write_json(spark: SparkSession, document: Any, path: str, overwrite: bool = True) -> None:
@@ -65,15 +117,31 @@ def write_json(spark: SparkSession, document: Any, path: str, overwrite: bool =
     if not overwrite and fs.exists(target):
         raise FileExistsError(path)
     _, aside = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(aside, True)
     try:
-        out.write(bytearray((json.dumps(document, indent=2, sort_keys=True) + "\n").encode()))
-        out.hsync()
+        out = fs.create(aside, True)
+        try:
+            out.write(bytearray((json.dumps(document, indent=2, sort_keys=True, default=str) + "\n").encode()))
+            out.hsync()
+        finally:
+            out.close()
+        put(spark, aside.toString(), path)
+    except BaseException:
+        fs.delete(aside, False)
+        raise
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str):
+    """Holds ``path``.lock, which no one else may hold meanwhile."""
+    fs, lock = _fs(spark, f"{path}.lock")
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:
+        raise FileExistsError(f"{path} is locked by another run; delete {path}.lock if there is none") from e
+    try:
+        yield
     finally:
-        out.close()
-    fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"{path} could not be put in place")
+        fs.delete(lock, False)
 
 
 def replace_table(df: DataFrame, path: str) -> None:

@@ -348,26 +348,59 @@ def boundary_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("series", "window_ms", "boundary_ms", n.cast("long").alias("sources"), "recoverable")
 
 
-@query(
-    f"""WITH {WANTED}, x AS (SELECT t.*, lag(window_end_ms) OVER w AS bw, lag(end_interval_ms) OVER w AS bi, lag(end_price) OVER w AS bp, lag(end_available_at) OVER w AS ba,
-      s.close AS fc, s.avail AS fa, s.source AS fs FROM targets t LEFT JOIN src s ON s.boundary_ms = t.window_end_ms - 3600000 WINDOW w AS (PARTITION BY series ORDER BY window_ms)),
-    y AS (SELECT *, target_flag = 'missing_end_boundary' AND fc IS NOT NULL AS asked, coalesce(start_interval_ms = window_ms - 3600000 AND start_price IS NOT NULL, false) AS own,
-      coalesce(bw = window_ms AND bi = window_ms - 3600000 AND bp IS NOT NULL, false) AS lent FROM x),
-    v AS (SELECT *, asked AND (own OR lent) AS fixed, CASE WHEN own THEN start_price ELSE bp END AS p0, CASE WHEN own THEN start_available_at ELSE ba END AS a0 FROM y)
-    SELECT series, window_ms, window_end_ms, CASE WHEN fixed THEN p0 ELSE start_price END AS start_price, CASE WHEN fixed THEN window_ms - 3600000 ELSE start_interval_ms END AS start_interval_ms,
+REPAIR = f"""{WANTED}, x AS (SELECT t.*, s.close AS fc, s.avail AS fa, s.source AS fs, target_flag = 'missing_end_boundary' AND s.close IS NOT NULL AS asked,
+      coalesce(start_interval_ms = window_ms - 3600000 AND start_price IS NOT NULL, false) AS own
+      FROM targets t LEFT JOIN (SELECT * FROM src WHERE sources = 1) s ON s.boundary_ms = t.window_end_ms - 3600000),
+    y AS (SELECT *, lag(window_end_ms) OVER w AS bw, lag(end_interval_ms) OVER w AS bi, lag(end_price) OVER w AS bp, lag(end_available_at) OVER w AS ba,
+      lag(asked) OVER w AS basked, lag(fc) OVER w AS bfc, lag(fa) OVER w AS bfa FROM x WINDOW w AS (PARTITION BY series, window_ms // 86400000 ORDER BY window_ms)),
+    z AS (SELECT *, own OR coalesce(bw = window_ms AND bi = window_ms - 3600000 AND bp IS NOT NULL, false) AS base, coalesce(bw = window_ms AND asked AND basked, false) AS chained FROM y),
+    c AS (SELECT *, sum(CASE WHEN chained THEN 0 ELSE 1 END) OVER (PARTITION BY series, window_ms // 86400000 ORDER BY window_ms) AS run FROM z),
+    u AS (SELECT *, asked AND bool_or(base) OVER (PARTITION BY series, window_ms // 86400000, run ORDER BY window_ms) AS fixed FROM c),
+    r AS (SELECT *, chained AND coalesce(lag(fixed) OVER (PARTITION BY series, window_ms // 86400000 ORDER BY window_ms), false) AS relay FROM u),
+    v AS (SELECT *, CASE WHEN own THEN start_price WHEN relay THEN bfc ELSE bp END AS p0, CASE WHEN own THEN start_available_at WHEN relay THEN bfa ELSE ba END AS a0 FROM r),
+    repaired AS (SELECT series, window_ms, window_end_ms, CASE WHEN fixed THEN p0 ELSE start_price END AS start_price, CASE WHEN fixed THEN window_ms - 3600000 ELSE start_interval_ms END AS start_interval_ms,
       CASE WHEN fixed THEN a0 ELSE start_available_at END AS start_available_at, CASE WHEN fixed THEN fc ELSE end_price END AS end_price, CASE WHEN fixed THEN window_end_ms - 3600000 ELSE end_interval_ms END AS end_interval_ms,
       CASE WHEN fixed THEN fa ELSE end_available_at END AS end_available_at, CASE WHEN fixed THEN greatest(a0, fa) ELSE target_available_at END AS target_available_at,
       CASE WHEN fixed THEN CASE WHEN fc >= p0 THEN 'UP' ELSE 'DOWN' END ELSE label END AS label, label_source, label_definition, target_valid OR fixed AS target_valid,
       CASE WHEN fixed THEN CASE WHEN a0 // 1000 > window_ms THEN 'valid_target_recovered_end_boundary_late_start' ELSE 'valid_target_recovered_end_boundary' END ELSE target_flag END AS target_flag,
-      CASE WHEN fixed THEN fs END AS recovered_from, CASE WHEN fixed THEN CASE WHEN own THEN 'target_row_start' ELSE 'previous_window_end' END END AS start_source, asked AND NOT own AND NOT lent AS needs_review
-    FROM v"""
-)
-def boundary_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+      CASE WHEN fixed THEN fs END AS recovered_from, CASE WHEN fixed THEN CASE WHEN own THEN 'target_row_start' ELSE 'previous_window_end' END END AS start_source, asked AND NOT fixed AS needs_review
+    FROM v)"""
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _targets(spark, sf_dir)
     found = targets.find_boundaries(targets.wanted_boundaries(rows, ev.GRID), ev.hour_klines(spark, sf_dir))
-    first = F.element_at("sources", 1)
-    fix = found.where("recoverable").select("boundary_ms", first["close"].alias("close"), first["available_at"].alias("available_at"), first["series"].alias("source")).distinct()
-    return micros(targets.recover(rows, fix, ev.GRID), "start_available_at", "end_available_at", "target_available_at")
+    return targets.recover(rows, targets.single_sources(found)[0], ev.GRID)
+
+
+@query(f"WITH {REPAIR} SELECT * FROM repaired")
+def boundary_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return micros(_repaired(spark, sf_dir), "start_available_at", "end_available_at", "target_available_at")
+
+
+@query(f"WITH {WANTED} SELECT DISTINCT w.boundary_ms, strftime(make_timestamp(w.window_ms * 1000), '%Y-%m-%d') AS target_day, s.sources FROM wanted w JOIN src s USING (boundary_ms) WHERE s.sources > 1")
+def ambiguous_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries that several sources observed: they stay for review."""
+    found = targets.find_boundaries(targets.wanted_boundaries(_targets(spark, sf_dir), ev.GRID), ev.hour_klines(spark, sf_dir))
+    return targets.single_sources(found)[1].select("boundary_ms", "target_day", F.size("sources").cast("long").alias("sources"))
+
+
+@query(
+    f"""WITH {REPAIR} SELECT strftime(make_timestamp(window_ms * 1000), '%Y-%m-%d') AS day, count(*) AS rows, count(*) FILTER (start_source IS NOT NULL) AS recovered_rows,
+    count(*) FILTER (needs_review) AS review_rows FROM repaired GROUP BY ALL"""
+)
+def recovery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.recovery_counters(_repaired(spark, sf_dir))
+
+
+@query(
+    f"""WITH {REPAIR} SELECT window_ms // 86400000 AS day, count(*) AS rows, count(*) FILTER (target_valid) AS valid, count(*) FILTER (target_flag LIKE 'valid_target_recovered%') AS recovered,
+    count(*) FILTER (target_flag = 'missing_end_boundary' AND window_end_ms % 86400000 = 0) AS missing_final_end, count(*) FILTER (target_flag = 'missing_end_boundary' AND window_end_ms % 86400000 != 0) AS missing_intraday_end
+    FROM repaired GROUP BY ALL"""
+)
+def recovered_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _repaired(spark, sf_dir).withColumns({"day": F.floor(F.col("window_ms") / 86_400_000), "last_of_day": F.col("window_end_ms") % 86_400_000 == 0})
+    return review.day_quality(x, "day")
 
 
 # --- views -------------------------------------------------------------------------------

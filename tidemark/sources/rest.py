@@ -9,6 +9,8 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import UTC, date, datetime, timedelta
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MINUTE_MS = 60_000
@@ -88,3 +90,10 @@ class KlineSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def as_minute_bars(rows: DataFrame) -> DataFrame:
+    """Rows of the source with the columns of a minute table: instants for its two times, numbers as the exchange wrote them."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    times = {"open_ms": "open_time_utc", "close_ms": "close_time_utc"}
+    return rows.select(*[F.timestamp_millis(n).alias(times[n]) if n in times else F.col(n) for n in names])

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stats import finite
 from ..operators import checks
+from ..operators.ordered import LINES, previous
 
 MINUTE_BARS = T.StructType(
     [
@@ -44,15 +47,25 @@ def read_superset(spark: SparkSession, path: str | list[str], columns: list[str]
 def minute_bars(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(series, t, open, high, low, close, volume) by epoch minute; the file name without ending is the series.
 
-    Times must be whole minutes of the file's day, once each, and values finite.
+    Times must be whole minutes of the file's day and ascend within the file, and values be finite; one pass decides all of it. Minutes
+    that ascend within the files of different days are different, so no further check of uniqueness is needed.
     """
     rows = read_exact(spark, path, MINUTE_BARS)
     us = F.unix_micros("open_time_utc")
-    rows = rows.withColumns({"t": F.floor(us / 60_000_000).cast("long"), "us": us, "day": F.regexp_extract("file_name", r"(\d{4}-\d{2}-\d{2})", 1)})
-    checks.holds(rows, F.col("us") % 60_000_000 == 0, "a bar does not start on a whole minute")
-    checks.holds(rows, F.date_format("open_time_utc", "yyyy-MM-dd") == F.col("day"), "a bar is not of its file's day")
-    checks.unique(rows, ["t"], "bars")
-    checks.finite(rows, ["open", "high", "low", "close", "volume"], "bars")
+    day = F.regexp_extract("file_name", r"(\d{4}-\d{2}-\d{2})", 1)
+    rows = rows.withColumns({"t": F.floor(us / 60_000_000).cast("long"), "us": us, "day": day, "line": F.monotonically_increasing_id()})
+    seen = previous(rows, ["file_name"], "line", ["us"], "before", LINES)
+    values = [F.col(c) for c in ("open", "high", "low", "close", "volume")]
+    sound = reduce(lambda x, y: x & y, [finite(v) for v in values])
+    rules = {
+        "a bar does not start on a whole minute": F.col("us") % 60_000_000 == 0,
+        "a bar is not of its file's day": F.date_format("open_time_utc", "yyyy-MM-dd") == F.col("day"),
+        "bars do not ascend": F.col("before").isNull() | (F.col("us") > F.col("before.us")),
+        "values are not finite": sound,
+    }
+    checks.all_hold(seen, rules, ["file_name", "open_time_utc"])
+    twice = rows.select("file_name", "day").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("files")).where("files > 1")
+    checks.holds(twice, F.lit(False), "two files of one day")
     return rows.select(F.lit("1m").alias("series"), "t", "open", "high", "low", "close", "volume")
 
 
@@ -78,13 +91,27 @@ def coverage_map(spark: SparkSession, path: str) -> dict[str, str]:
     return found
 
 
-def boundary_report(spark: SparkSession, path: str) -> DataFrame:
-    """(boundary_ms, target_day, close, available_at, source) of the recoverable boundaries, first source of each."""
-    rows = []
-    for entry in read_document(spark, path):
+def boundary_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
+    """(boundary_ms, target_day, close, available_at, source) of the boundaries that exactly one source observed, and what else
+    the report holds: how many were requested, recoverable and not, and those of several sources, which are ambiguous."""
+    found = read_document(spark, path)
+    if not isinstance(found, list) or not all(isinstance(e, dict) for e in found):
+        raise ValueError("a boundary report is an array of objects")
+    rows, ambiguous = [], []
+    for entry in found:
         if entry.get("recoverable"):
-            first = entry["sources"][0]
-            rows.append((int(entry["boundary_start_ms"]), entry["target_day"], float(first["close"]), first["received_at_utc"], f"{first['source_group']}/{first['source_file']}"))
+            sources = entry.get("sources")
+            if not isinstance(sources, list) or len(sources) != 1:
+                ambiguous.append({"boundary_ms": int(entry["boundary_start_ms"]), "target_day": entry["target_day"], "sources": len(sources or [])})
+                continue
+            one = sources[0]
+            lacking = [k for k in ("close", "received_at_utc", "source_group", "source_file") if not one.get(k)]
+            if lacking:
+                raise ValueError(f"the source of boundary {entry['boundary_start_ms']} lacks {lacking}")
+            rows.append((int(entry["boundary_start_ms"]), entry["target_day"], float(one["close"]), one["received_at_utc"], f"{one['source_group']}/{one['source_file']}"))
+    named = [int(e["boundary_start_ms"]) for e in found]
+    if len(set(named)) < len(named):
+        raise ValueError("a boundary is reported twice")
     x = spark.createDataFrame(rows, "boundary_ms long, target_day string, close double, received string, source string")
-    checks.unique(x, ["boundary_ms"], "boundaries")
-    return x.select("boundary_ms", "target_day", "close", F.to_timestamp("received").alias("available_at"), "source")
+    about = {"requested": len(found), "recoverable": len(rows), "unrecoverable": sum(not e.get("recoverable") for e in found), "ambiguous": ambiguous}
+    return x.select("boundary_ms", "target_day", "close", F.to_timestamp("received").alias("available_at"), "source"), about
