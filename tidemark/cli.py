@@ -46,14 +46,12 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _with_day(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("day", F.to_date(from_ms(F.col("window_ms"))))
+_with_day = views.with_day
 
 
 def _day_counts(rows: DataFrame, **counts) -> list[dict]:
     """Counters of each day; a row for each day comes to the driver."""
-    found = _with_day(rows).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()])
-    return [r.asDict() for r in found.orderBy("day").collect()]
+    return [r.asDict() for r in views.day_counters(rows, **counts).orderBy("day").collect()]
 
 
 def _totals(days: list[dict]) -> dict:
@@ -71,7 +69,7 @@ def _csv(spark: SparkSession, path: str | None, rows: DataFrame, *order: str) ->
 
 def _without_days(rows: DataFrame, days: str | None) -> DataFrame:
     """Rows whose UTC day is not on a list of days, divided by commas."""
-    return _with_day(rows).where(~F.col("day").cast("string").isin([d.strip() for d in days.split(",")])).drop("day") if days else rows
+    return views.without_days(rows, [d.strip() for d in days.split(",")] if days else [])
 
 
 def do_manifest(spark: SparkSession, a) -> int:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.time import from_ms
 from .checks import unique
 
 KEY = ["series", "window_ms"]
@@ -69,6 +70,21 @@ def join_counters(audit: DataFrame) -> DataFrame:
     )
 
 
+def with_day(rows: DataFrame) -> DataFrame:
+    """Rows with the UTC day of their window."""
+    return rows.withColumn("day", F.to_date(from_ms(F.col("window_ms"))))
+
+
+def day_counters(rows: DataFrame, **counts: Column) -> DataFrame:
+    """Rows of each UTC day, and those of them that each of ``counts`` holds for."""
+    return with_day(rows).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+def without_days(rows: DataFrame, days: list[str]) -> DataFrame:
+    """Rows whose UTC day is none of ``days``."""
+    return with_day(rows).where(~F.col("day").cast("string").isin(days)).drop("day") if days else rows
+
+
 def two_way_anti(left: DataFrame, right: DataFrame, sides: tuple[str, str], key: list[str] = KEY) -> DataFrame:
     """Keys that one of two tables lacks, with the side that has them."""
     a, b = left.select(*key), right.select(*key)

@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import number_text
@@ -48,6 +48,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def texts(df: DataFrame, numbers: str = "%.12g") -> DataFrame:
     """Every column as text: booleans in lower case, instants with microseconds, null as ""."""
+    return df.select(_cells(df, numbers))
+
+
+def _cells(df: DataFrame, numbers: str = "%.12g") -> list[Column]:
     as_text = number_text(numbers)
     out = []
     for name, kind in df.dtypes:
@@ -57,7 +61,7 @@ def texts(df: DataFrame, numbers: str = "%.12g") -> DataFrame:
         elif kind == "timestamp":
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         out.append(F.coalesce(c.cast("string"), F.lit("")).alias(name))
-    return df.select(out)
+    return out
 
 
 def write_csv(df: DataFrame, path: str, order: list[str], overwrite: bool = True) -> None:
@@ -81,10 +85,26 @@ def write_day_csvs(df: DataFrame, path: str, day: str, order: list[str]) -> list
     ``df`` stay as they are. One job writes all days, a task for each; the paths of the files are returned."""
     spark = df.sparkSession
     aside = f"{path.rstrip('/')}/.{uuid.uuid4().hex}.tmp"
-    named = df.select(F.col(day).cast("string").alias("file_of_day"), *[F.col(c) for c in df.columns if c != day])
-    ordered = named.repartition("file_of_day").sortWithinPartitions("file_of_day", *order)
-    body = texts(ordered)
-    body.write.partitionBy("file_of_day").csv(aside, header=True, emptyValue="")
+    keys = [F.col(c).alias(f"order_of_row_{i}") for i, c in enumerate(order)]
+    named = df.select(F.col(day).cast("string").alias("file_of_day"), *_cells(df.drop(day)), *keys)
+    # sorted after the cells are made, and by a column that stays: the writer then keeps the order instead of sorting by day anew
+    ordered = named.repartition("file_of_day").sortWithinPartitions("file_of_day", *[f"order_of_row_{i}" for i in range(len(order))])
+    ordered.drop(*[f"order_of_row_{i}" for i in range(len(order))]).write.partitionBy("file_of_day").csv(aside, header=True, emptyValue="")
+    return _put_each(spark, aside, path, ".csv")
+
+
+def write_line_files(df: DataFrame, path: str, name: str, line: str, order: list[str], ending: str = ".jsonl.gz") -> list[str]:
+    """A file of lines for each ``name``, in order, packed if its ending says so; written as ``write_day_csvs`` writes."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}/.{uuid.uuid4().hex}.tmp"
+    ordered = df.select(F.col(name).alias("file_name"), F.col(line).alias("value"), *order).repartition("file_name").sortWithinPartitions("file_name", *order)
+    packed = "gzip" if ending.endswith(".gz") else "none"
+    ordered.select("file_name", "value").write.partitionBy("file_name").option("compression", packed).text(aside)
+    return _put_each(spark, aside, path, ending)
+
+
+def _put_each(spark: SparkSession, aside: str, path: str, ending: str) -> list[str]:
+    """Puts the one file of each folder ``key=name`` in place as ``name`` with an ending."""
     fs, folder = _fs(spark, aside)
     out = []
     try:
@@ -92,9 +112,11 @@ def write_day_csvs(df: DataFrame, path: str, day: str, order: list[str]) -> list
             name = one.getPath().getName()
             if "=" not in name:
                 continue
-            target = f"{path.rstrip('/')}/{name.partition('=')[2]}.csv"
-            part = next(s.getPath() for s in fs.listStatus(one.getPath()) if s.getPath().getName().startswith("part-"))
-            put(spark, part.toString(), target)
+            target = f"{path.rstrip('/')}/{name.partition('=')[2]}{ending}"
+            parts = [s.getPath() for s in fs.listStatus(one.getPath()) if s.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise OSError(f"{target} came in {len(parts)} parts")
+            put(spark, parts[0].toString(), target)
             out.append(target)
     finally:
         fs.delete(folder, True)

@@ -626,3 +626,6 @@ def iso_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sha_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform(F.sort_array(F.collect_list("event_id")), lambda i: i.cast("string"))
     return ev.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sha2(F.array_join(ids, ","), 256).alias("sha256"), F.count(F.lit(1)).alias("n"))
+
+
+from . import file_queries  # noqa: E402, F401  registers its queries
