@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
+
 ORDER = 4
 SAMPLE_DOCS = 400  # labelled texts of each language, at most
 SAMPLE_BYTES = 1_000_000  # and bytes of each language; texts are taken whole, in order, up to the first that goes beyond
@@ -235,7 +237,7 @@ def identify(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), in_fold(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.transform(in_arrow, work, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, text_col: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
@@ -253,4 +255,4 @@ def with_language(docs: DataFrame, text_col: str = "text", learn_from: DataFrame
                 names, _ = shared.value.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.transform(in_arrow, work, docs.schema)

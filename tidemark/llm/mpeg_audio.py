@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .word_pool import slices
 
 UNIT = 64
@@ -314,7 +315,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, media binary")
+    return rows.transform(in_arrow, work, f"doc_id {kind}, media binary")
 
 
 MEDIA_FIELDS = (
@@ -367,4 +368,4 @@ def from_media(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(work, f"doc_id {kind}, {MEDIA_FIELDS}")
+    return media.select("doc_id", "media").transform(in_arrow, work, f"doc_id {kind}, {MEDIA_FIELDS}")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .word_pool import LONGEST_KEPT, NumberTable, WordPool, binary, ragged, slices, utf8
 
 MARK = "▁"  # stands for a space
@@ -339,4 +340,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if outputs else 4]
     fields = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * outputs
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, fields)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(in_arrow, work, fields)

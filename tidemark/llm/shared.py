@@ -6,13 +6,18 @@ executor, so that a lost executor costs a re-read and not the result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _LASTING: list[str] = []
@@ -81,6 +86,28 @@ def drop_tables(spark: SparkSession) -> None:
         drop_table(spark, _LASTING.pop())
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_arrow(rows: DataFrame, work: Callable[[Batches], Batches], schema) -> DataFrame:
+    """``rows.mapInArrow(work, schema)`` in batches of ``BATCH_ROWS`` texts, unless the session names another number, after
+    which a worker gives back the memory that it holds no more: it lives on, and the next task may be of another kind."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    if rows.sparkSession.conf.get(_BATCH, None) is None:
+        rows.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def _marked(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """_row and _hit: whether ``key`` may be one of ``keys``."""
     place = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)) + 1

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, maybe_among, split_by, write_table, written
+from .shared import drop_table, in_arrow, maybe_among, split_by, write_table, written
 from .word_pool import slices
 
 WORDS = 5
@@ -224,7 +224,7 @@ def _scan(docs: DataFrame, seed: int) -> DataFrame:
             yield counted()
 
     rows = docs.select("doc_id", "text", "mark")
-    return rows.mapInArrow(work, "kind byte, doc_id long, n long, node long, check long, mark long, sig binary")
+    return rows.transform(in_arrow, work, "kind byte, doc_id long, n long, node long, check long, mark long, sig binary")
 
 
 # --- lists -------------------------------------------------------------------------------
@@ -288,7 +288,7 @@ def _postings(docs: DataFrame, seed: int, frequent) -> DataFrame:
                 columns = [_signed(key), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("text").mapInArrow(work, "key long, salts int, salt int, node long, n int, pos int, ord int")
+    return docs.select("text").transform(in_arrow, work, "key long, salts int, salt int, node long, n int, pos int, ord int")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], by: list[int]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -334,7 +334,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "pos", "node")
-    return dealt.mapInArrow(work, "key long, salts int, node long, n int, pos int, ord int, lnode long, ln int, lpos int, lord int")
+    return dealt.transform(in_arrow, work, "key long, salts int, node long, n int, pos int, ord int, lnode long, ln int, lpos int, lord int")
 
 
 def _in_reach(n1: Column, p1: Column, o1: Column, n2: Column, p2: Column, o2: Column) -> Column:
@@ -389,7 +389,7 @@ def _near(pairs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, str]:
     sigs, path = written(sigs.dropDuplicates(["node"]), "join-signatures")
     first = pairs.join(sigs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a")), "a")
     both = first.join(sigs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b")), "b")
-    found = written(both.select("a", "b", "na", "nb", "sig_a", "sig_b").mapInArrow(work, "a long, b long"), "join-near")
+    found = written(both.select("a", "b", "na", "nb", "sig_a", "sig_b").transform(in_arrow, work, "a long, b long"), "join-near")
     for x in (at, path):
         drop_table(spark, x)
     return found
@@ -411,7 +411,7 @@ def _texts(docs: DataFrame, seed: int, classes: DataFrame, pairs: DataFrame) ->
 
     asked, at = written(_ends(pairs).join(classes.select("node", "mark"), "node"), "join-asked")
     rows = maybe_among(docs.select("text", "mark"), F.col("mark"), asked.select("mark")).dropDuplicates(["mark", "text"])
-    found = asked.join(rows, "mark").select(*names).mapInArrow(work, "node long, text string")
+    found = asked.join(rows, "mark").select(*names).transform(in_arrow, work, "node long, text string")
     texts, path = written(found.dropDuplicates(["node"]), "join-texts")
     drop_table(docs.sparkSession, at)
     return texts, path
@@ -437,7 +437,7 @@ def _links(docs: DataFrame, seed: int, scanned: DataFrame, classes: DataFrame, c
     texts, path = _texts(docs, seed, classes, pairs)
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     rows = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    found = write_table(rows.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long"), "join-links")
+    found = write_table(rows.select("a", "b", "text_a", "text_b").transform(in_arrow, work, "a long, b long"), "join-links")
     for x in (near_at, path):
         drop_table(docs.sparkSession, x)
     return found
@@ -513,7 +513,7 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wide = [F.col(c).cast("long").alias(c) for c in ("key", "block", "kind", "node", "n", "pos", "ord", "comp")]
     dealt = rows.select(*wide).repartition(parts, "key", "block").sortWithinPartitions("key", "block", "kind")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.transform(in_arrow, work, "a long, b long").distinct()
 
 
 # --- the operator ------------------------------------------------------------------------

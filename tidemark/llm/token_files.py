@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_table, new_path, written
+from .shared import drop_table, in_arrow, new_path, written
 from .word_pool import WordPool, binary, ragged, slices, utf8
 
 LONGEST = 18
@@ -272,7 +272,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids binary")
+    return rows.transform(in_arrow, work, "doc_id long, ids binary")
 
 
 def id_counts(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
@@ -285,7 +285,7 @@ def id_counts(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").transform(in_arrow, work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)
     for r in rows:  # bounded by the vocabulary
         counts[r["id"]] = r["n"]
@@ -330,7 +330,7 @@ class TokenFiles:
                     names = [f.split()[0] for f in fields.split(",")]
                     yield pa.RecordBatch.from_arrays(found, names=names)
 
-        return self.blocks.select("part", "start", "block").mapInArrow(work, fields)
+        return self.blocks.select("part", "start", "block").transform(in_arrow, work, fields)
 
 
 def open_files(spark: SparkSession, path: str) -> TokenFiles:
@@ -389,7 +389,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_
     at = to or new_path(spark, "token-files")
     head = spark.createDataFrame([(bytearray(lengths), size, end_id, CHECKPOINT)], HEAD)
     head.coalesce(1).write.parquet(at + "/code")
-    numbered.mapInArrow(work, BLOCKS).write.option("compression", "uncompressed").parquet(at + "/blocks")
+    numbered.transform(in_arrow, work, BLOCKS).write.option("compression", "uncompressed").parquet(at + "/blocks")
     drop_table(spark, kept)
     return TokenFiles(spark, at)
 

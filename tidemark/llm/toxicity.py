@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_table, written
+from .shared import drop_table, in_arrow, written
 from .word_pool import slices
 
 POSITIVES = 4000  # sampled toxic texts, at most
@@ -193,7 +193,7 @@ def _sample(rows: DataFrame, most: int) -> list[list[str]]:
             columns = [part.column(0), pa.array([len(w) for w in found], pa.int64()), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=["place", "size", "words"])
 
-    found, path = written(rows.select("place", "text").mapInArrow(work, "place double, size long, words array<string>"), "toxicity-sample")
+    found, path = written(rows.select("place", "text").transform(in_arrow, work, "place double, size long, words array<string>"), "toxicity-sample")
     order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each sampled text
     last = found.select("place", F.sum("size").over(order).alias("upto"), F.row_number().over(Window.orderBy("place")).alias("n"))
     last = last.where((F.col("n") <= most + most // 4) & (F.col("upto") <= MOST_WORDS)).agg(F.max("place").alias("last")).first()["last"]
@@ -251,4 +251,4 @@ def score(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), in_fold(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.transform(in_arrow, work, f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .word_pool import slices
 
 VERSION = "WARC/1.1"
@@ -302,7 +303,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(work, f"page_id {kind}, record binary")
+    return rows.transform(in_arrow, work, f"page_id {kind}, record binary")
 
 
 DERIVED = "record_type string, record_id string, refers_to string, target_uri string, n_bytes long, source_payload_digest string, block_sha256 string, record_sha256 string, record binary, error string"
@@ -352,4 +353,4 @@ def derivatives(records: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keys, pa.int64())), *columns], names=names)
 
     kind = records.schema["page_id"].dataType.simpleString()
-    return records.select("page_id", "record").mapInArrow(work, f"page_id {kind}, {DERIVED}")
+    return records.select("page_id", "record").transform(in_arrow, work, f"page_id {kind}, {DERIVED}")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LONGEST_KEPT = 64  # bytes; longer pieces are encoded anew each time
-REMEMBERED = 1_000_000  # pieces, some 100 bytes each
+REMEMBERED = 500_000  # pieces, some 100 bytes each
 WINDOW = 1 << 20  # bytes that are worked on at once; a longer piece is worked on alone
 
 
