@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import events as ev
 from .functions.time import canonical_key, epoch_ms, epoch_us, iso_ms, iso_plain, iso_us
-from .operators import asof, audit, bars, checks, historical, metrics, model, review, split, targets, views
+from .operators import asof, audit, bars, checks, historical, metrics, model, review, sets, split, targets, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,32 +494,36 @@ def day_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- set operations ----------------------------------------------------------------------
 
-_CLICK, _VIEW = "SELECT start_ms FROM h WHERE series = 'click'", "SELECT start_ms FROM h WHERE series = 'view'"
+#: Two sides that make up the whole table: hours of clicks and views, and those of all other types.
+_SEEN, _DONE = "SELECT start_ms FROM h WHERE series IN ('click', 'view')", "SELECT start_ms FROM h WHERE series NOT IN ('click', 'view')"
 
 
-def _starts(spark: SparkSession, sf_dir: str, series: str) -> DataFrame:
-    return ev.hour_klines(spark, sf_dir).where(F.col("series") == series).select("start_ms")
+def _starts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    h, seen = ev.hour_klines(spark, sf_dir), F.col("series").isin("click", "view")
+    return h.where(seen).select("start_ms"), h.where(~seen).select("start_ms")
 
 
-@query(f"WITH {H} {_CLICK} UNION {_VIEW}")
+@query(f"WITH {H} {_SEEN} UNION {_DONE}")
 def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _starts(spark, sf_dir, "click").union(_starts(spark, sf_dir, "view")).distinct()
+    return sets.union(*_starts(spark, sf_dir))
 
 
-@query(f"WITH {H} {_CLICK} INTERSECT {_VIEW}")
+@query(f"WITH {H} {_SEEN} INTERSECT {_DONE}")
 def key_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _starts(spark, sf_dir, "click").intersect(_starts(spark, sf_dir, "view"))
+    return sets.intersection(*_starts(spark, sf_dir))
 
 
-@query(f"WITH {H} {_CLICK} EXCEPT {_VIEW}")
+@query(f"WITH {H} {_SEEN} EXCEPT {_DONE}")
 def key_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _starts(spark, sf_dir, "click").subtract(_starts(spark, sf_dir, "view"))
+    return sets.difference(*_starts(spark, sf_dir))
 
 
-@query("SELECT event_id, ts FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, ts FROM events WHERE event_type = 'view'")
+@query("SELECT event_id, ts FROM events")
 def table_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a table by type, one after another."""
     e = ev.table(spark, sf_dir, "events")
-    return e.where("event_type = 'click'").select("event_id", "ts").unionByName(e.where("event_type = 'view'").select("event_id", "ts"))
+    types = ["click", "view"]
+    return sets.concatenated([*(e.where(F.col("event_type") == t) for t in types), e.where(~F.col("event_type").isin(types))]).select("event_id", "ts")
 
 
 # --- splits ------------------------------------------------------------------------------
@@ -622,10 +626,12 @@ def iso_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", iso_ms(ts).alias("ms"), iso_us(ts).alias("us"), iso_plain(ts).alias("plain"), epoch_ms(ts).alias("epoch"), epoch_us(canonical_key(ts)).alias("key_us"))
 
 
-@query("SELECT event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS sha256, count(*) AS n FROM events GROUP BY ALL")
+@query(
+    """WITH b AS (SELECT event_type, event_id // 4096 AS block, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS digest, count(*) AS n FROM events GROUP BY ALL)
+    SELECT event_type, sha256(string_agg(digest, ',' ORDER BY block)) AS sha256, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL"""
+)
 def sha_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.sort_array(F.collect_list("event_id")), lambda i: i.cast("string"))
-    return ev.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sha2(F.array_join(ids, ","), 256).alias("sha256"), F.count(F.lit(1)).alias("n"))
+    return sets.identity(ev.table(spark, sf_dir, "events"), ["event_type"], "event_id", 4096)
 
 
 from . import file_queries  # noqa: E402, F401  registers its queries
