@@ -494,12 +494,12 @@ def day_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- set operations ----------------------------------------------------------------------
 
-#: Two sides that make up the whole table: hours of clicks and views, and those of all other types.
-_SEEN, _DONE = "SELECT start_ms FROM h WHERE series IN ('click', 'view')", "SELECT start_ms FROM h WHERE series NOT IN ('click', 'view')"
+#: Two sides that make up the whole table: hours of all types but clicks, and those of clicks.
+_SEEN, _DONE = "SELECT start_ms FROM h WHERE series != 'click'", "SELECT start_ms FROM h WHERE series = 'click'"
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    h, seen = ev.hour_klines(spark, sf_dir), F.col("series").isin("click", "view")
+    h, seen = ev.hour_klines(spark, sf_dir), F.col("series") != "click"
     return h.where(seen).select("start_ms"), h.where(~seen).select("start_ms")
 
 
