@@ -30,6 +30,7 @@ MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the model file
 
 _ID = np.dtype("<u4")
+TOGETHER = 100  # words that the library is asked for as one text
 _NONE = np.int64(1 << 62)  # the rank of a pair that merges to nothing
 
 
@@ -228,12 +229,13 @@ class MergeVocabulary:
         return [self.byte_id[b] for b in char.encode()] if self.byte_id else [self.unknown]
 
     def _check(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        """Raises if the library splits any of the words otherwise. Words with one mark are asked for as one text."""
+        """Raises if the library splits any of the words otherwise. Words with one mark are asked for together."""
         edge = np.append(0, np.cumsum(counts))
         plain = [i for i, p in enumerate(pieces) if len(p) > 1 and p.rfind(b" ") == 0]
         odd = list(range(len(pieces)))
         if plain:
-            theirs = np.array(self.library.encode(b"".join(map(pieces.__getitem__, plain))[1:].decode()), _ID)
+            texts = [b"".join(map(pieces.__getitem__, plain[at : at + TOGETHER]))[1:].decode() for at in range(0, len(plain), TOGETHER)]
+            theirs = np.array([i for x in self.library.encode(texts, num_threads=1) for i in x], _ID)
             own = np.array(plain)
             mine = ids[ragged(edge[own], counts[own])]
             if len(mine) == len(theirs) and (mine == theirs).all():

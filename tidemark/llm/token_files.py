@@ -34,6 +34,7 @@ LONGEST = 18
 BLOCK_TOKENS = 1 << 17
 CHECKPOINT = 128
 PUNCTUATION = b".,;:!?&#$%*"  # no apostrophe, which may open a unit of letters, and nothing of a special token
+TOGETHER = 200  # pieces that go to the library as one text
 MAGIC = b"TMH1"
 _HEAD = struct.Struct("<4sIIIIQ")
 BLOCKS = "part int, start long, n_tokens long, block binary"
@@ -216,15 +217,20 @@ class Encoder:
         begins[1:] |= self.word[raw[:-1]] & self.punctuation[raw[1:]]
         return np.flatnonzero(begins)
 
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts from the library, by its call that leaves out offsets where there is one."""
+        call = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        return [x.ids for x in call(texts, add_special_tokens=False)] if texts else []
+
     def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces; those without other white space than what opens them go to the library together."""
         raw, size = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
         start, white = np.cumsum(size) - size, (raw == 32) | (raw == 10)
         plain = np.flatnonzero((np.add.reduceat(white, start, dtype=np.int64) == 1) & white[start] & (size > 1))
         found, counts, order = [], [], []
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.library.encode(b"".join(map(pieces.__getitem__, part.tolist())).decode(), add_special_tokens=False).ids, self.kind)
+        parts = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        for part, done in zip(parts, self.ids_of([b"".join(map(pieces.__getitem__, x.tolist())).decode() for x in parts]), strict=True):
+            ids = np.array(done, self.kind)
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(part) and first[0] == 0:
                 found.append(ids)
@@ -233,7 +239,7 @@ class Encoder:
         left = np.ones(len(pieces), bool)
         left[np.concatenate([np.zeros(0, np.int64), *order])] = False
         order.append(np.flatnonzero(left))
-        rest = [x.ids for x in self.library.encode_batch([pieces[i].decode() for i in order[-1].tolist()], add_special_tokens=False)]
+        rest = self.ids_of([pieces[i].decode() for i in order[-1].tolist()])
         found += [np.array(x, self.kind) for x in rest]
         counts.append(np.array([len(x) for x in rest], np.int64))
         ids, count, place = np.concatenate(found), np.concatenate(counts), np.argsort(np.concatenate(order))
@@ -251,7 +257,7 @@ class Encoder:
         ids, count = self.pool.encode(raw, start)
         upto = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, edge)]
         row = int(np.flatnonzero(edge[1:] > edge[:-1])[0])
-        if ids[upto[row] : upto[row + 1]].tolist() != self.library.encode(raw[edge[row] : edge[row + 1]].tobytes().decode(), add_special_tokens=False).ids:
+        if ids[upto[row] : upto[row + 1]].tolist() != self.ids_of([raw[edge[row] : edge[row + 1]].tobytes().decode()])[0]:
             raise RuntimeError("the library encodes a text otherwise than its pieces")
         return ids, upto
 

@@ -3,7 +3,7 @@
 A batch is one array of bytes, cut into pieces. A piece's number is a sum of one pseudo-random number for each byte times one for its
 place; numbers are looked up in an open-addressing table, and what is found is compared with the piece byte by
 byte, so that two pieces of one number are never taken for each other. Pieces that are new, long or
-collide are encoded by the caller.
+collide are encoded by the caller. A full pool keeps what it has, which are mostly the frequent pieces, until it meets too little of it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LONGEST_KEPT = 64  # bytes; longer pieces are encoded anew each time
-REMEMBERED = 500_000  # pieces, some 100 bytes each
+REMEMBERED = 600_000  # pieces, some 100 bytes each
+STRANGE = 0.4  # share of unknown pieces from which a full pool is of no use and begins anew
 WINDOW = 1 << 20  # bytes that are worked on at once; a longer piece is worked on alone
 
 
@@ -145,8 +146,6 @@ class WordPool:
 
     def encode(self, raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces of ``raw``, which begin at ``start``, and how many each has."""
-        if self.id_start.size > REMEMBERED:
-            self._clear()
         ids, counts, at = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], 0
         end = np.append(start[1:], len(raw)) if len(start) else start
         while at < len(start):
@@ -169,13 +168,20 @@ class WordPool:
         row[size > LONGEST_KEPT] = -1
         text = raw.tobytes()
         new = np.flatnonzero((row < 0) & (size <= LONGEST_KEPT))
+        full = self.id_start.size > REMEMBERED
+        if full and len(new) > STRANGE * len(start):
+            self._clear()
+            return self._window(raw, start)
+        sizes = lambda: [g.size for g in (self.ids, self.id_start, self.id_count, self.bytes, self.byte_start, self.byte_count)]
+        marks = sizes()
         if len(new):
             key, first, which = np.unique(number[new], return_index=True, return_inverse=True)
             asked = new[first]
             rows = self._take_in([text[a : a + n] for a, n in zip(start[asked].tolist(), size[asked].tolist(), strict=True)])
-            self.table.add(key, rows)
             row[new] = rows[which]
-        marks = [g.size for g in (self.ids, self.id_start, self.id_count, self.bytes, self.byte_start, self.byte_count)]
+            if not full:
+                self.table.add(key, rows)
+                marks = sizes()
         other = (row < 0) | (self.byte_count.all[row] != size)  # long ones, and those of a known piece's number
         row[other] = 0
         good = np.ones(len(start), bool)
