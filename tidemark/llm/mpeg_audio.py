@@ -369,3 +369,11 @@ def from_media(media: DataFrame) -> DataFrame:
 
     kind = media.schema["doc_id"].dataType.simpleString()
     return media.select("doc_id", "media").transform(in_arrow, work, f"doc_id {kind}, {MEDIA_FIELDS}")
+
+
+#: What a reader must find again of the texts themselves.
+ORACLE = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT *, CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END AS pad FROM t)
+SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(encode(body || repeat(chr(0), pad))) AS payload_sha256 FROM p
+"""

@@ -246,3 +246,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
         _written(F.array_sort(F.concat("base", "markov"))).alias("spans"),
     )
+
+
+def _spans_sql(kind: str, pattern: str, order: int) -> str:
+    """(doc_id, start, k, finish, word) of the matches in the table t, by the lengths of matches and of what lies between them."""
+    return f"""SELECT r, {order} AS k, '{kind}' AS kind, unnest(list_zip(generate_series(1, len(m)), m)) AS z, g, m, v FROM (
+      SELECT r, regexp_extract_all(body, $p${pattern}$p$) AS m, string_split_regex(body, $p${pattern}$p$) AS g, regexp_extract_all(body, $p${pattern}$p$, {2 if order == 1 else 0}) AS v FROM t)"""
+
+
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+u AS ({_spans_sql("assign", ASSIGN, 1)} UNION ALL {_spans_sql("access", ACCESS, 2)} UNION ALL {_spans_sql("hex", HEX, 3)}),
+p AS (
+  SELECT r, k, kind, list_sum([length(x) FOR x IN g[1:z[1]]]) + coalesce(list_sum([length(x) FOR x IN m[1:z[1] - 1]]), 0) AS start, length(z[2]) AS size, length(v[z[1]]) AS word FROM u),
+b AS (SELECT * FROM p WHERE k != 1 OR word >= 6),
+d AS (
+  SELECT r, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
+         string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + size AS BIGINT) AS VARCHAR), ',' ORDER BY start, k) AS spans
+  FROM b GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM t LEFT JOIN d USING (r)
+"""

@@ -617,3 +617,26 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rank = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(1)))
     one = hit.join(kept, same, "left_semi").withColumn("rank", rank).where("rank = 1")
     return rest.select("row.*").unionByName(one.select("row.*"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT r, doc_id,
+         CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[])
+              WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+              ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN generate_series(1, len(words) - 4)])
+         END AS shingles
+  FROM w),
+x AS (SELECT r, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.r < b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT r, r AS other FROM s UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.other = e.a)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN s o ON o.r = reach.other GROUP BY reach.r) c ON c.r = s.r
+"""
