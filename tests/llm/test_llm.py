@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import components, exact_dedup, language_id, mpeg_audio, secret_scan, sentencepiece_bpe, shingle_join, source_mix, token_files, toxicity, warc_derive
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers
+except ImportError:
+    public_tokenizers = None
+needs_vocabularies = pytest.mark.skipif(public_tokenizers is None, reason="no vocabulary files")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\t\n", "a", "  a  b ", "▁a ▁▁", "日本語 テスト 😀", "<s> </s> <0x41> <|endoftext|> x", "é" * 300, "x" * 3000, "\n\n x\t y", "don't we'll", "a\x00b", "end \n", "a.\nB c,\n d"]
 
@@ -62,6 +66,7 @@ def test_exact_dedup_with_good_and_colliding_digests(spark, digest):
 # --- tokens ---------------------------------------------------------------------------
 
 
+@needs_vocabularies
 def test_agenda_equals_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = ODD + noise(400)
@@ -73,6 +78,7 @@ def test_agenda_equals_library(spark):
     assert sentencepiece_bpe.encode_decode(empty(spark), path).count() == 0
 
 
+@needs_vocabularies
 def test_decoding_of_ids_that_are_no_encoding():
     v = sentencepiece_bpe.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     rnd = random.Random(5)
@@ -81,12 +87,14 @@ def test_decoding_of_ids_that_are_no_encoding():
         assert v.decode(ids) == v.library.decode(ids), ids
 
 
+@needs_vocabularies
 def test_a_difference_to_the_library_stops():
     v = sentencepiece_bpe.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     with pytest.raises(RuntimeError):
         v.check_words(["▁hello"], [[1]])
 
 
+@needs_vocabularies
 def test_token_files_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ODD + noise(400, 2)
@@ -610,6 +618,7 @@ def test_components_of_chains_and_stars(spark):
 # --- pipeline -------------------------------------------------------------------------
 
 
+@needs_vocabularies
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
