@@ -8,6 +8,7 @@ and outputs are those that are there now.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -47,9 +48,11 @@ def report_of(spark: SparkSession, path: str) -> dict[str, Any] | None:
 
 def run(spark: SparkSession, report: str | None, stage: str, version: str, inputs: dict[str, str], outputs: dict[str, str], build: Callable[[], tuple[bool, dict]]) -> int:
     """Runs ``build``, which says whether all is well and what else to report, unless it has been run on the same inputs and its
-    outputs are still the same. Returns 0, or 1 if a person has to look."""
+    outputs are still the same. Returns 0, or 1 if a person has to look. Without a report to keep, it is printed."""
     if report is None:
-        return 0 if build()[0] else 1
+        good, more = build()
+        print(json.dumps({"stage": stage, "status": "completed" if good else "review"} | more, default=str, sort_keys=True))
+        return 0 if good else 1
     given = {name: identity(spark, path) for name, path in inputs.items()}
     state = {"stage": stage, "version": version, "inputs": given, "paths": inputs | outputs}
     before = report_of(spark, report)
