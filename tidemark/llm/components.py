@@ -12,7 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the ends of ``edges`` (a, b), comp being the smallest node of the component.
 
     Every step is written and read again, so lineage stays short and a lost executor costs one step. The
-    aggregates are combined before the shuffle; a node with very many neighbours is never one group in memory.
+    aggregates are combined before the shuffle. The joins have one row for each node on one side and stream the other, so a node with
+    very many neighbours is not held in memory; Spark splits such a node's rows over tasks where adaptive execution is on. Null
+    ends are not allowed; repeated edges and edges of a node with itself change nothing; no edges give no rows.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")

@@ -29,7 +29,7 @@ from .shared import in_arrow
 ORDER = 4
 SAMPLE_DOCS = 400  # labelled texts of each language, at most
 SAMPLE_BYTES = 1_000_000  # and bytes of each language; texts are taken whole, in order, up to the first that goes beyond
-WINDOW = 1 << 20  # positions that are looked up at once
+WINDOW = 1 << 18  # positions that are looked up at once
 UNDETERMINED = "und"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -48,7 +48,7 @@ CHUNK = 3 << 20  # tokens that a task counts at once
 SALT_ROWS = 4096  # rows of one combination in one list
 BLOCK = 4096  # rows of a list's most frequent component that are searched by one task
 PAIRS = 1 << 18  # pairs that a task looks at at once
-TEXT_BYTES = 1 << 20  # bytes of text that are worked on at once; a longer text is worked on alone
+TEXT_BYTES = 1 << 18  # bytes of text that are worked on at once; a longer text is worked on alone
 SIGNATURE_BITS = 4  # for each token of a set, rounded up to a power of two
 
 _PRIME = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]

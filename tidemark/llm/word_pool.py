@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 LONGEST_KEPT = 64  # bytes; longer pieces are encoded anew each time
 REMEMBERED = 600_000  # pieces, some 100 bytes each
 STRANGE = 0.4  # share of unknown pieces from which a full pool is of no use and begins anew
-WINDOW = 1 << 20  # bytes that are worked on at once; a longer piece is worked on alone
+WINDOW = 1 << 18  # bytes that are worked on at once; a longer piece is worked on alone
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
